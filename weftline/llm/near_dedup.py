@@ -16,8 +16,8 @@ from .components import connected_components
 
 #: A pair at similarity 0.8 is missed with probability (1 - 0.8**ROWS)**BANDS = 1.3e-7.
 BANDS, ROWS = 40, 5
-#: Members of a bucket that act as centres in one round of the search for the links that stars miss.
-CENTRES = 32
+#: Members around one centre that share a shingle at most, for it to be joined; more common ones are counted instead.
+FEW = 32
 #: Ids broadcast at most, 16 bytes each; beyond, the same join is shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -109,6 +109,20 @@ def _confirm(percent: int):
     return run
 
 
+def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each member of a group and its centre: the size of the set, what both share, and the rest of the shingles."""
+    for b in batches:
+        if b.num_rows:
+            n, both, rest = [], [], []
+            for s, t in zip(b.column("set"), b.column("set_c"), strict=True):
+                x, c = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64)
+                on = c[np.minimum(np.searchsorted(c, x), len(c) - 1)] == x
+                n.append(len(x))
+                both.append(int(on.sum()))
+                rest.append(x[~on].view(np.int64))
+            yield pa.record_batch([*(b.column(x) for x in ("c", "id", "component", "off")), pa.array(n, pa.int64()), pa.array(both, pa.int64()), pa.array(rest, pa.list_(pa.int64()))], ["c", "id", "component", "off", "n", "both", "rest"])
+
+
 def _sets(k: int):
     def make():
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -125,10 +139,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     Documents are linked whose sets of distinct k-word shingles have 100 * intersection >= percent * union.
     component_id is the smallest doc_id that links reach; kept marks its holder. Sets are held as 64-bit hashes.
 
-    Equal sets are one node, found by a digest before any pair is made, so exact copies cost no pairs. Buckets
-    of the bands link each member with the smallest first; as long as a bucket then holds members of different
-    components, pairs across them follow in rounds, CENTRES centres at a time, until each such pair that shares
-    a bucket has been tried. No bucket is gathered or capped, and no pair inside a component is tried in vain.
+    Equal sets are one node, found by a digest before any pair is made, so exact copies cost no pairs. In each bucket
+    of the bands the member in most company, as the original of copies is, is tried with all others; then the best of
+    those it doesn't reach. In buckets that still hold several components, bounds from what each set shares with the
+    bucket's centre tell which other pairs may link, and all of those are tried. No bucket is gathered or capped.
 
     Null or empty text, or text without words: an empty set, linked with nothing, its own component. Null doc_id:
     component_id null, kept true, and no links. Rows that repeat doc_id and text get equal rows. An empty table
@@ -143,10 +157,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     reps = shelf.put(reps, "reps")
     own = signed.select("digest", F.col("doc_id").alias("id"), "bands", "sig").join(reps, ["digest", "id"])
     member = own.select("id", F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("centre"), F.max("id").alias("top")).filter("centre < top").drop("top")
+    shared = member.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("top")).filter("low < top").select("bucket", "n")
     member = shelf.put(member.join(shared, "bucket"), "member")
+    # the original of a group of copies is in the largest bucket of nearly every band: it is the best centre
+    weight = shelf.put(member.groupBy("id").agg(F.sum("n").alias("weight")), "weight")
 
-    ids = shelf.put(member.select("id").distinct(), "ids")
+    ids = weight.select("id")
     few = ids.count() <= BROADCAST_IDS
     wanted = F.broadcast(ids) if few else ids
     sigs = shelf.put(own.select("id", "sig").join(wanted, "id"), "sigs")
@@ -164,29 +180,65 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         p = p.join(sets.select(F.col("id").alias("v"), F.col("set").alias("set_v")), "v").join(sets.select(F.col("id").alias("u"), F.col("set").alias("set_u")), "u")
         return p.select("u", "v", "set_u", "set_v").mapInArrow(_confirm(percent), "u long, v long").distinct()
 
-    tried = shelf.put(member.filter("id > centre").select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct(), "tried")
+    def stars(open_members: DataFrame) -> DataFrame:
+        """(bucket, c): in each bucket the member in most company, of equals the smallest id."""
+        best = open_members.join(weight, "id").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("neg"))).alias("best"))
+        return best.select("bucket", (-F.col("best.neg")).alias("c"))
+
+    centre = shelf.put(stars(member), "centre")
+    first = member.select("bucket", "id").join(centre, "bucket").filter("id != c")
+    tried = shelf.put(first.select(F.least("id", "c").alias("u"), F.greatest("id", "c").alias("v")).distinct(), "tried")
     links = shelf.put(confirmed(tried), "confirmed")
     comps = shelf.put(connected_components(links, shelf), "components")
-    turn = 0
-    while True:
-        m = member.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        open_ = m.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-        m = m.join(open_, "bucket").withColumn("turns", F.ceil(F.col("n") / CENTRES))
-        m = m.withColumn("turn", F.pmod(F.xxhash64("bucket", "id"), F.col("turns"))).filter(F.col("turns") > turn)
-        m = shelf.put(m.filter(F.col("turn") >= turn).select("bucket", "id", "component", "turn"), "open")
-        if m.isEmpty():
-            break
-        c = m.filter(F.col("turn") == turn).select("bucket", F.col("id").alias("c"), F.col("component").alias("cc"))
-        pairs = m.join(c, "bucket").filter((F.col("component") != F.col("cc")) & ((F.col("turn") > turn) | (F.col("id") > F.col("c"))))
+
+    def still_open(m: DataFrame) -> DataFrame:
+        """m (bucket, id, n) with component, in buckets that hold more than one."""
+        m = m.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        several = m.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
+        return m.join(several, "bucket")
+
+    def extend(pairs: DataFrame) -> None:
+        nonlocal tried, links, comps
         pairs = pairs.select(F.least("id", "c").alias("u"), F.greatest("id", "c").alias("v")).distinct()
         pairs = shelf.put(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
-        shelf.drop(m)
         tried = tried.unionByName(pairs)
         more = shelf.put(confirmed(pairs), "more")
         if not more.isEmpty():
             links = links.unionByName(more)
             comps = shelf.put(connected_components(links, shelf), "components")
-        turn += 1
+
+    # the member in most company outside the leading component may be the original of another group
+    m = shelf.put(still_open(member), "open")
+    lead = m.join(centre.withColumnRenamed("c", "id"), ["bucket", "id"]).select("bucket", F.col("component").alias("lead"))
+    c = stars(m.join(lead, "bucket").filter("component != lead"))
+    c = c.join(m.select("bucket", F.col("id").alias("c"), F.col("component").alias("cc")), ["bucket", "c"])
+    extend(m.join(c, "bucket").filter("component != cc").select("id", "c").distinct())
+
+    # All pairs across components that are left, around the centre they share. What two sets share is at most what the
+    # one with less of the centre shares with it, and the shingles off the centre that both have. Shingles of few
+    # members are joined; those of many count for whoever has them. So copies that random edits take too far from the
+    # original, which never link, make no pairs, and no pair that can link is left out.
+    m = still_open(member)
+    at = m.join(centre, "bucket").filter("id != c").select("c", "id", "component").distinct()
+    at = at.join(comps.select(F.col("node").alias("c"), F.col("component").alias("cc")), "c", "left").withColumn("off", F.col("component") != F.coalesce("cc", "c"))
+    at = at.join(sets, "id").join(sets.select(F.col("id").alias("c"), F.col("set").alias("set_c")), "c")
+    at = shelf.put(at.select("c", "id", "component", "off", "set", "set_c").mapInArrow(_beside, "c long, id long, component long, off boolean, n long, both long, rest array<long>"), "beside")
+    rest = at.select("c", "id", "component", "off", F.explode("rest").alias("g"))
+    counts = rest.groupBy("c", "g").agg(F.count("*").alias("times")).filter("times > 1")
+    rest = shelf.put(rest.join(counts, ["c", "g"]), "rest")
+    common = rest.filter(F.col("times") > FEW).groupBy("c", "id").agg(F.count("*").alias("common"))
+    at = at.select("c", "id", "component", "off", "n", "both").join(common, ["c", "id"], "left").withColumn("most", F.col("both") + F.coalesce("common", F.lit(0)))
+    at = shelf.put(at.drop("both", "common"), "around")
+    two = lambda d, *cs: (d.filter("off").select("c", *(F.col(x).alias("o_" + x) for x in cs)), d.select("c", *(F.col(x).alias("x_" + x) for x in cs)))
+    across = F.expr("o_component != x_component")
+    enough = lambda k: 100 * k >= percent * (F.col("o_n") + F.col("x_n") - k)
+    o, x = two(at, "id", "component", "n", "most")
+    near = o.join(x, (o["c"] == x["c"]) & across & enough(F.least("o_most", "x_most"))).select(F.col("o_id").alias("id"), F.col("x_id").alias("c"))
+    o, x = two(rest.filter(F.col("times") <= FEW).withColumnRenamed("g", "h"), "id", "component", "h")
+    both = o.join(x, (o["c"] == x["c"]) & (F.col("o_h") == F.col("x_h")) & across).groupBy(o["c"], "o_id", "x_id").agg(F.count("*").alias("extra"))
+    size = lambda p: at.select("c", F.col("id").alias(p + "_id"), F.col("n").alias(p + "_n"), F.col("most").alias(p + "_most"))
+    both = both.join(size("o"), ["c", "o_id"]).join(size("x"), ["c", "x_id"]).filter(enough(F.least("o_most", "x_most") + F.col("extra")))
+    extend(near.unionByName(both.select(F.col("o_id").alias("id"), F.col("x_id").alias("c"))))
 
     named = reps.join(comps.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     out = signed.select("doc_id", "row_hash", "n_shingles", "digest").join(named, "digest", "left")
