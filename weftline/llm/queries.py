@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, mixing, near_dedup, nearest, packing, toxicity, warc
+from . import html_text, licenses, media, mixing, near_dedup, nearest, packing, token_counts, toxicity, warc
 from .common import Shelf, table
 
 
@@ -113,3 +113,22 @@ WITH v AS (
 ), r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan_licences(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.size("notices").cast("long").alias("n_notices"), F.array_join("families", ",").alias("families"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+QUERIES |= {f.__name__: f for f in (op5_licence_scan, op7_token_counts)}
+
+
+def op3_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.image_copies(media.vector_images(table(spark, sf_dir, "embeddings")))
+
+
+QUERIES["op3_media_copies"] = op3_media_copies
