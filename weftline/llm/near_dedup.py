@@ -18,6 +18,9 @@ from .components import connected_components
 BANDS, ROWS = 40, 5
 #: Members around one centre that share a shingle at most, for it to be joined; more common ones are counted instead.
 FEW = 32
+#: Words of 64 bits that say which shingles of its centre a member lacks.
+LACKS = 8
+LACKING = [f"l{i}" for i in range(LACKS)]
 #: Ids broadcast at most, 16 bytes each; beyond, the same join is shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -110,17 +113,25 @@ def _confirm(percent: int):
 
 
 def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each member of a group and its centre: the size of the set, what both share, and the rest of the shingles."""
+    """For each member of a group and its centre: the sizes of both sets, what they share, the rest of the member's shingles, and which of the centre's it lacks.
+
+    The lacking ones are bits in LACKS words, at places that the shingle's hash tells: bits set by either of two members
+    are never more than the shingles of the centre that at least one of them lacks.
+    """
     for b in batches:
         if b.num_rows:
-            n, both, rest = [], [], []
-            for s, t in zip(b.column("set"), b.column("set_c"), strict=True):
+            n, n_c, both, rest, lacks = [], [], [], [], np.zeros((b.num_rows, LACKS), np.uint64)
+            for i, (s, t) in enumerate(zip(b.column("set"), b.column("set_c"), strict=True)):
                 x, c = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64)
                 on = c[np.minimum(np.searchsorted(c, x), len(c) - 1)] == x
+                out = c[x[np.minimum(np.searchsorted(x, c), len(x) - 1)] != c]
+                np.bitwise_or.at(lacks[i], (out >> np.uint64(6)) % np.uint64(LACKS), np.uint64(1) << (out & np.uint64(63)))
                 n.append(len(x))
+                n_c.append(len(c))
                 both.append(int(on.sum()))
                 rest.append(x[~on].view(np.int64))
-            yield pa.record_batch([*(b.column(x) for x in ("c", "id", "component", "off")), pa.array(n, pa.int64()), pa.array(both, pa.int64()), pa.array(rest, pa.list_(pa.int64()))], ["c", "id", "component", "off", "n", "both", "rest"])
+            words = [pa.array(np.ascontiguousarray(lacks[:, i]).view(np.int64)) for i in range(LACKS)]
+            yield pa.record_batch([*(b.column(x) for x in ("c", "id", "component", "off")), *(pa.array(x, pa.int64()) for x in (n, n_c, both)), pa.array(rest, pa.list_(pa.int64())), *words], ["c", "id", "component", "off", "n", "n_c", "both", "rest", *LACKING])
 
 
 def _sets(k: int):
@@ -210,34 +221,44 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     # the member in most company outside the leading component may be the original of another group
     m = shelf.put(still_open(member), "open")
     lead = m.join(centre.withColumnRenamed("c", "id"), ["bucket", "id"]).select("bucket", F.col("component").alias("lead"))
-    c = stars(m.join(lead, "bucket").filter("component != lead"))
-    c = c.join(m.select("bucket", F.col("id").alias("c"), F.col("component").alias("cc")), ["bucket", "c"])
+    outside = shelf.put(m.join(lead, "bucket").filter("component != lead").select("bucket", "id"), "outside")
+    # of its buckets' such members each member takes the best, and each bucket the best of what its members took: so
+    # neighbouring buckets are tried with the same few members
+    best = outside.join(stars(outside), "bucket").join(weight.withColumnRenamed("id", "c"), "c")
+    main = best.groupBy("id").agg(F.max(F.struct("weight", (-F.col("c")).alias("neg"))).alias("best"))
+    c = outside.join(main, "id").groupBy("bucket").agg((-F.max("best")["neg"]).alias("c"))
+    c = c.join(comps.select(F.col("node").alias("c"), F.col("component").alias("cc")), "c", "left").withColumn("cc", F.coalesce("cc", "c"))
     extend(m.join(c, "bucket").filter("component != cc").select("id", "c").distinct())
 
     # All pairs across components that are left, around the centre they share. What two sets share is at most what the
-    # one with less of the centre shares with it, and the shingles off the centre that both have. Shingles of few
-    # members are joined; those of many count for whoever has them. So copies that random edits take too far from the
-    # original, which never link, make no pairs, and no pair that can link is left out.
+    # one with less of the centre shares with it, at most the centre without what either lacks of it, and the shingles
+    # off the centre that both have. Shingles of few members are joined; those of many count for whoever has them. So
+    # copies that random edits take too far from the original, which never link, make hardly any pairs, and no pair
+    # that can link is left out. A set of which that leaves too little for any partner goes first.
     m = still_open(member)
     at = m.join(centre, "bucket").filter("id != c").select("c", "id", "component").distinct()
     at = at.join(comps.select(F.col("node").alias("c"), F.col("component").alias("cc")), "c", "left").withColumn("off", F.col("component") != F.coalesce("cc", "c"))
     at = at.join(sets, "id").join(sets.select(F.col("id").alias("c"), F.col("set").alias("set_c")), "c")
-    at = shelf.put(at.select("c", "id", "component", "off", "set", "set_c").mapInArrow(_beside, "c long, id long, component long, off boolean, n long, both long, rest array<long>"), "beside")
+    at = shelf.put(at.select("c", "id", "component", "off", "set", "set_c").mapInArrow(_beside, "c long, id long, component long, off boolean, n long, n_c long, both long, rest array<long>, " + ", ".join(f"{x} long" for x in LACKING)), "beside")
     rest = at.select("c", "id", "component", "off", F.explode("rest").alias("g"))
     counts = rest.groupBy("c", "g").agg(F.count("*").alias("times")).filter("times > 1")
     rest = shelf.put(rest.join(counts, ["c", "g"]), "rest")
     common = rest.filter(F.col("times") > FEW).groupBy("c", "id").agg(F.count("*").alias("common"))
-    at = at.select("c", "id", "component", "off", "n", "both").join(common, ["c", "id"], "left").withColumn("most", F.col("both") + F.coalesce("common", F.lit(0)))
-    at = shelf.put(at.drop("both", "common"), "around")
+    own = ["id", "component", "n", "n_c", "both", "common", *LACKING]
+    at = at.drop("rest").join(common, ["c", "id"], "left").withColumn("common", F.coalesce("common", F.lit(0)))
+    at = shelf.put(at.select("c", "off", *own), "around")
     two = lambda d, *cs: (d.filter("off").select("c", *(F.col(x).alias("o_" + x) for x in cs)), d.select("c", *(F.col(x).alias("x_" + x) for x in cs)))
     across = F.expr("o_component != x_component")
+    either = sum((F.bit_count(F.col("o_" + x).bitwiseOR(F.col("x_" + x))) for x in LACKING[1:]), F.bit_count(F.col("o_l0").bitwiseOR(F.col("x_l0"))))
+    quick = F.least(F.col("o_both") + F.col("o_common"), F.col("x_both") + F.col("x_common"))
+    most = F.least(quick, F.col("o_n_c") - either + F.least("o_common", "x_common"))
     enough = lambda k: 100 * k >= percent * (F.col("o_n") + F.col("x_n") - k)
-    o, x = two(at, "id", "component", "n", "most")
-    near = o.join(x, (o["c"] == x["c"]) & across & enough(F.least("o_most", "x_most"))).select(F.col("o_id").alias("id"), F.col("x_id").alias("c"))
+    o, x = two(at.filter(100 * (F.col("both") + F.col("common")) >= percent * F.col("n")), *own)
+    near = o.join(x, (o["c"] == x["c"]) & across & enough(quick) & enough(most)).select(F.col("o_id").alias("id"), F.col("x_id").alias("c"))
     o, x = two(rest.filter(F.col("times") <= FEW).withColumnRenamed("g", "h"), "id", "component", "h")
     both = o.join(x, (o["c"] == x["c"]) & (F.col("o_h") == F.col("x_h")) & across).groupBy(o["c"], "o_id", "x_id").agg(F.count("*").alias("extra"))
-    size = lambda p: at.select("c", F.col("id").alias(p + "_id"), F.col("n").alias(p + "_n"), F.col("most").alias(p + "_most"))
-    both = both.join(size("o"), ["c", "o_id"]).join(size("x"), ["c", "x_id"]).filter(enough(F.least("o_most", "x_most") + F.col("extra")))
+    size = lambda p: at.select("c", *(F.col(x).alias(f"{p}_{x}") for x in own if x != "component"))
+    both = both.join(size("o"), ["c", "o_id"]).join(size("x"), ["c", "x_id"]).filter(enough(most + F.col("extra")))
     extend(near.unionByName(both.select(F.col("o_id").alias("id"), F.col("x_id").alias("c"))))
 
     named = reps.join(comps.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
