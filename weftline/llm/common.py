@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,7 +81,7 @@ def text_bytes(c: str = "text") -> Column:
 MASK = (1 << 64) - 1
 _word: dict[bytes, int] = {}
 #: Words kept hashed in a Python worker before the table is emptied; a bound of memory, not of the words that count.
-KEEP_WORDS = 400_000
+KEEP_WORDS = 150_000
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -121,13 +122,23 @@ def shingle_set(text: bytes, k: int) -> np.ndarray:
     return np.unique(acc)
 
 
+#: Rows a function gets at a time, and bytes, if no single row has more: its lists and arrays stay small beside the batch.
+SLICE_ROWS, SLICE_BYTES = 1024, 8 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in pieces, without copies; empty batches give none."""
+    for b in batches:
+        step = max(1, min(SLICE_ROWS, SLICE_BYTES * b.num_rows // max(1, b.nbytes)))
+        for i in range(0, b.num_rows, step):
+            yield b.slice(i, step)
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
-    """df.mapInArrow with a function of one record batch; make() runs once in each task."""
+    """df.mapInArrow with a function of one record batch, which slices() keeps small; make() runs once in each task."""
 
     def run(batches: Iterator) -> Iterator:
         f = make()
-        for b in batches:
-            if b.num_rows:
-                yield f(b)
+        yield from map(f, slices(batches))
 
     return df.mapInArrow(run, schema)

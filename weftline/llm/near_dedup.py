@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shelf, arrow_map, shingle_set, text_bytes
+from .common import Shelf, arrow_map, shingle_set, slices, text_bytes
 from .components import connected_components
 
 #: A pair at similarity 0.8 is missed with probability (1 - 0.8**ROWS)**BANDS = 1.3e-7.
@@ -80,7 +80,7 @@ def _alike(least: float):
     """Pairs whose signatures agree as pairs above the threshold nearly always do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             if b.num_rows:
                 x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(b.num_rows, -1) for c in ("sig_u", "sig_v"))
                 yield b.select(["u", "v"]).filter(pa.array((x == y).mean(axis=1) >= least))
@@ -92,7 +92,7 @@ def _confirm(percent: int):
     """Pairs with 100 * intersection >= percent * union of the full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             if b.num_rows:
                 ok, last, x = [], None, None
                 for s, t in zip(b.column("set_u"), b.column("set_v"), strict=True):
@@ -118,7 +118,7 @@ def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     The lacking ones are bits in LACKS words, at places that the shingle's hash tells: bits set by either of two members
     are never more than the shingles of the centre that at least one of them lacks.
     """
-    for b in batches:
+    for b in slices(batches):
         if b.num_rows:
             n, n_c, both, rest, lacks = [], [], [], [], np.zeros((b.num_rows, LACKS), np.uint64)
             for i, (s, t) in enumerate(zip(b.column("set"), b.column("set_c"), strict=True)):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import Shelf, arrow_map, text_bytes
 
 #: Words whose ids a Python worker keeps before it empties the table.
-KEEP_WORDS = 900_000
+KEEP_WORDS = 300_000
 #: Pieces of one length that one task ranks, about.
 RANK_ROWS = 100_000
 

@@ -19,7 +19,7 @@ FIT_ROWS = 12_000
 THRESHOLD = 0.3
 
 _known: dict[bytes, tuple[int, ...]] = {}
-KEEP_WORDS = 400_000
+KEEP_WORDS = 100_000
 _edge = re.compile(r"^\W+|\W+$")
 
 
