@@ -144,8 +144,9 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int =
 
     terms = arrow_map(sample.select("doc_id", "y", "text"), make, "doc_id long, y int, terms binary")
     # only terms of 3 documents or more can be known: counted in the cluster, the rest never reaches the driver
-    got = terms.toPandas().sort_values(["doc_id", "terms"])
-    return fit([np.frombuffer(t, np.int32).astype(np.int64) for t in got["terms"]], got["y"].to_numpy(np.float64))
+    got = terms.toArrow().sort_by([("doc_id", "ascending"), ("terms", "ascending")])
+    # views of the received bytes, not copies: the driver holds the sample once
+    return fit([np.frombuffer(t.as_buffer(), np.int32) for t in got["terms"]], got["y"].to_numpy().astype(np.float64))
 
 
 def score(docs: DataFrame, model: FactorizationMachine, keep: list[str] | None = None) -> DataFrame:
