@@ -17,6 +17,7 @@ TERMS, FACTORS = 1 << 18, 8
 #: Labelled rows the model is fitted on at most, chosen by a hash of doc_id; each gives at most FIT_TERMS terms.
 FIT_ROWS = 12_000
 THRESHOLD = 0.3
+FIT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("terms", pa.binary())])
 
 _known: dict[bytes, tuple[int, ...]] = {}
 KEEP_WORDS = 100_000
@@ -52,6 +53,18 @@ class FactorizationMachine:
     def __init__(self, known: np.ndarray, bias: float, w: np.ndarray, v: np.ndarray, scale: float) -> None:
         self.known, self.bias, self.w, self.v, self.scale = known, bias, w, v, scale
 
+    @classmethod
+    def of(cls, at: np.ndarray, w: np.ndarray, v: np.ndarray, bias: float) -> FactorizationMachine:
+        """From the known terms alone, their weights and factors."""
+        m = cls(np.zeros(TERMS, bool), bias, np.zeros(TERMS, np.float32), np.zeros((TERMS, FACTORS), np.float32), 1.0)
+        m.known[at], m.w[at], m.v[at] = True, w, v.reshape(-1, FACTORS)
+        return m
+
+    def parts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """What of() makes it from."""
+        at = np.flatnonzero(self.known).astype(np.int32)
+        return at, self.w[at], self.v[at], self.bias
+
     def logits(self, terms: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """terms of all documents, one after another, which begin at starts (ascending, one past the end last)."""
         out = np.full(len(starts) - 1, self.bias, np.float64)
@@ -143,10 +156,18 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int =
         return f
 
     terms = arrow_map(sample.select("doc_id", "y", "text"), make, "doc_id long, y int, terms binary")
-    # only terms of 3 documents or more can be known: counted in the cluster, the rest never reaches the driver
-    got = terms.toArrow().sort_by([("doc_id", "ascending"), ("terms", "ascending")])
-    # views of the received bytes, not copies: the driver holds the sample once
-    return fit([np.frombuffer(t.as_buffer(), np.int32) for t in got["terms"]], got["y"].to_numpy().astype(np.float64))
+
+    def fitted(batches):
+        """The model of all rows, as its known terms with their weights."""
+        got = pa.Table.from_batches(batches, FIT_SCHEMA).sort_by([("doc_id", "ascending"), ("terms", "ascending")])
+        # views of the received bytes, not copies
+        m = fit([np.frombuffer(t.as_buffer(), np.int32) for t in got["terms"]], got["y"].to_numpy().astype(np.float64))
+        *parts, bias = m.parts()
+        yield pa.record_batch([*(pa.array([x.tobytes()], pa.binary()) for x in parts), pa.array([bias])], ["at", "w", "v", "bias"])
+
+    # at most rows rows meet in one task, so that the driver holds neither the sample nor what fitting needs
+    row = terms.repartition(1).mapInArrow(fitted, "at binary, w binary, v binary, bias double").first()
+    return FactorizationMachine.of(np.frombuffer(row.at, np.int32), np.frombuffer(row.w, np.float32), np.frombuffer(row.v, np.float32), row.bias)
 
 
 def score(docs: DataFrame, model: FactorizationMachine, keep: list[str] | None = None) -> DataFrame:
@@ -156,10 +177,10 @@ def score(docs: DataFrame, model: FactorizationMachine, keep: list[str] | None =
     """
     keep = ["doc_id"] if keep is None else keep
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.known, model.bias, model.w, model.v, model.scale))
+    shared = spark.sparkContext.broadcast(model.parts())
 
     def make():
-        m = FactorizationMachine(*shared.value)
+        m = FactorizationMachine.of(*shared.value)
 
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
             out = []
