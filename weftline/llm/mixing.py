@@ -75,7 +75,8 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
     slots = chunks.select("chunk", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, F.col("need")) - 1)).alias("slot"))
     slots = slots.withColumn("point", F.pmod(F.pmod("slot", F.lit(POINTS)) * STEP, F.lit(POINTS))).withColumn("cell", F.floor(F.col("point") / width))
     cells = t.filter("hi > lo").withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
-    hit = slots.join(cells.select("cell", "lo", "hi", "no"), "cell").filter("point >= lo and point < hi").select("slot", "chunk", "no")
+    # merge: the planner takes slots for as small as the one row they are exploded from, and would broadcast them
+    hit = slots.join(cells.select("cell", "lo", "hi", "no").hint("merge"), "cell").filter("point >= lo and point < hi").select("slot", "chunk", "no")
     counts = hit.groupBy("no", "chunk").agg(F.count("*").alias("n"))
     counts = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     hit = hit.withColumn("turn", F.row_number().over(Window.partitionBy("no", "chunk").orderBy("slot")) - 1)
@@ -132,8 +133,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0,
     placed = shuffled_spans(d, sizes, seed)
     cut = placed.filter("size > 0").select("source", "start", (F.col("start") + F.col("size")).alias("end"))
     cut = cut.withColumn("cell", grid(F.col("start"), F.col("end")))
-    # a span and a document that meet in several cells count in the first of them
-    meet = cut.join(spans, same("source", "ss") & (F.col("cell") == F.col("pcell")))
+    # a span and a document that meet in several cells count in the first of them; merge, as both are far larger exploded than estimated
+    meet = cut.hint("merge").join(spans, same("source", "ss") & (F.col("cell") == F.col("pcell")))
     lo, hi = F.greatest("start", "plo"), F.least("end", "phi")
     meet = meet.filter((hi > lo) & (F.floor(lo / block) == F.col("cell")))
     took = meet.groupBy("source", "start").agg(F.sum((hi - lo) * F.col("times")).alias("taken"))
