@@ -54,7 +54,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
 
 def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The order of training: slot, source, turn (the slot's rank inside its source, from 0), words.
+    """The order of training: slot, source, source_size, turn (the slot's rank inside its source, from 0), words.
 
     Slot i has the point i * STEP mod 2**31, and the source is the one whose share of the targets, laid end to end,
     holds it; so each stretch of slots has each source near its share. Where the sequence gives a source fewer
@@ -75,17 +75,18 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
     slots = chunks.select("chunk", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, F.col("need")) - 1)).alias("slot"))
     slots = slots.withColumn("point", F.pmod(F.pmod("slot", F.lit(POINTS)) * STEP, F.lit(POINTS))).withColumn("cell", F.floor(F.col("point") / width))
     cells = t.filter("hi > lo").withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
-    # merge: the planner takes slots for as small as the one row they are exploded from, and would broadcast them
-    hit = slots.join(cells.select("cell", "lo", "hi", "no").hint("merge"), "cell").filter("point >= lo and point < hi").select("slot", "chunk", "no")
+    # merge, here and below: the planner takes slots for as small as the one row they are exploded from, and would broadcast them
+    of_source = ["no", "source", "source_size", "want", "need"]
+    hit = slots.join(cells.select("cell", "lo", "hi", *of_source).hint("merge"), "cell").filter("point >= lo and point < hi").select("slot", "chunk", *of_source)
     counts = hit.groupBy("no", "chunk").agg(F.count("*").alias("n"))
     counts = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     hit = hit.withColumn("turn", F.row_number().over(Window.partitionBy("no", "chunk").orderBy("slot")) - 1)
-    hit = hit.join(counts.select("no", "chunk", "before"), ["no", "chunk"]).select("slot", "no", (F.col("turn") + F.col("before")).alias("turn"))
+    hit = hit.join(counts.select("no", "chunk", "before").hint("merge"), ["no", "chunk"]).select("slot", *of_source, (F.col("turn") + F.col("before")).alias("turn"))
     has = counts.groupBy("no").agg(F.sum("n").alias("has"))
     late = t.join(has, "no", "left").withColumn("has", F.coalesce("has", F.lit(0))).filter("has < need")
-    late = late.select(F.lit(None).cast("long").alias("slot"), "no", F.explode(F.sequence("has", F.col("need") - 1)).alias("turn"))
-    out = hit.unionByName(late).join(t.select("no", "source", "want", "need"), "no").filter("turn < need")
-    return out.select("slot", "source", "turn", F.least(F.lit(block), F.col("want") - F.col("turn") * block).alias("words"))
+    late = late.select(F.lit(None).cast("long").alias("slot"), *of_source, F.explode(F.sequence("has", F.col("need") - 1)).alias("turn"))
+    out = hit.unionByName(late).filter("turn < need")
+    return out.select("slot", "source", "source_size", "turn", F.least(F.lit(block), F.col("want") - F.col("turn") * block).alias("words"))
 
 
 def shuffled_spans(docs: DataFrame, sizes: DataFrame, seed: str) -> DataFrame:
@@ -120,11 +121,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0,
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words().alias("size"), F.xxhash64("text").alias("row"))
     sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, share, repeats)
-    plan = schedule(targets, block).select("source", "turn", F.col("words").alias("cut"))
+    plan = schedule(targets, block).select("source", F.col("source_size").alias("len"), "turn", F.col("words").alias("cut"))
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     # blocks of the first pass that reach past the source's end go on at its start: (source, pass, from, to) of words taken
-    t = targets.select(F.col("source").alias("ts"), F.col("source_size").alias("len"))
-    spans = plan.join(t, same("source", "ts")).withColumn("at", F.col("turn") * block)
+    spans = plan.withColumn("at", F.col("turn") * block)
     spans = spans.withColumn("lo", F.pmod("at", "len"))
     spans = spans.withColumn("pieces", F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("lo") + F.col("cut") - 1) / F.col("len"))), lambda k: F.struct(F.greatest(F.lit(0), F.col("lo") - k * F.col("len")).alias("lo"), F.least("len", F.col("lo") + F.col("cut") - k * F.col("len")).alias("hi"))))
     spans = spans.select("source", F.explode("pieces").alias("p")).groupBy("source", "p").agg(F.count("*").alias("times"))
