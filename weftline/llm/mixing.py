@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, Shelf
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -119,6 +119,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0,
     are left out. An empty table gives no rows.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words().alias("size"), F.xxhash64("text").alias("row"))
+    d = Shelf(docs.sparkSession, "mixing").put(d, "documents")  # no texts: these are read and their words counted once
     sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, share, repeats)
     plan = schedule(targets, block).select("source", F.col("source_size").alias("len"), "turn", F.col("words").alias("cut"))
