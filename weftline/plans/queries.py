@@ -163,8 +163,19 @@ WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linen
 ), l AS (SELECT l_orderkey AS o, i, p_brand AS b, row_number() OVER (PARTITION BY l_orderkey, p_brand ORDER BY i) AS r FROM n JOIN part ON l_partkey = p_partkey)
 SELECT o AS query_id, count(*) AS parts, string_agg(regexp_replace(b, '[^0-9A-Za-z_]', '_', 'g') || CASE WHEN r > 1 THEN '_' || i ELSE '' END || '_properties_and_telemetries', ',' ORDER BY i) AS keys FROM l GROUP BY o""")
 def compose_manifest(spark, sf_dir):
+    """Of the orders its SQL names; compose_manifest_all covers every order."""
+    return _manifests(spark, sf_dir, read(spark, sf_dir, "lineitem").filter("l_orderkey % 50 = 0"))
+
+
+@query()
+def compose_manifest_all(spark, sf_dir):
+    """compose_manifest over all of lineitem."""
+    return _manifests(spark, sf_dir, read(spark, sf_dir, "lineitem"))
+
+
+def _manifests(spark, sf_dir, lines):
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice"))
-    l = read(spark, sf_dir, "lineitem").filter("l_orderkey % 50 = 0").withColumn("place", place).join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))  # noqa: E741
+    l = lines.withColumn("place", place).join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))  # noqa: E741
     entry = F.array(F.struct(F.lit("Property").alias("type"), F.col("p_name").alias("name")))
     c = interfaces.compose(l.select(F.col("l_orderkey").alias("query_id"), F.col("place").alias("position"), F.regexp_replace("p_brand", "[^0-9A-Za-z_]", "_").alias("subsystem"), entry.alias("entries")))
     return c.select("query_id", F.size("manifest").cast("long").alias("parts"), F.array_join(F.transform("manifest", lambda x: x["subsystem_key"]), ",").alias("keys"))
@@ -253,7 +264,7 @@ def greedy_dedup(spark, sf_dir):
   printf('%02d:%02d', p_partkey // 60, p_partkey % 60) AS clock FROM part WHERE p_partkey < 3600""")
 def coerce_values(spark, sf_dir):
     i = F.col("p_partkey")
-    p = read(spark, sf_dir, "part").filter("p_partkey < 3600").select("p_partkey", F.when(i % 5 == 0, F.lit('{"v":"abc"}')).when(i % 2 == 1, F.concat(F.lit('{"v":" '), i, F.lit('.5"}'))).otherwise(F.concat(F.lit('{"v":'), i, F.lit("}"))).alias("j"))
+    p = read(spark, sf_dir, "part").select("p_partkey", F.when(i % 5 == 0, F.lit('{"v":"abc"}')).when(i % 2 == 1, F.concat(F.lit('{"v":" '), i, F.lit('.5"}'))).otherwise(F.concat(F.lit('{"v":'), i, F.lit("}"))).alias("j"))
     v = V.explode_object(p, "j", ["p_partkey"])
     return v.select("p_partkey", V.coerce(F.col("value"), F.lit("double"))["num"].alias("number"), V.coerce(F.col("value"), F.lit("integer"))["num"].alias("whole"), T.clock(i.cast("double")).alias("clock"))
 
