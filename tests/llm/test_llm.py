@@ -194,6 +194,27 @@ def test_licences(spark):
     assert rows[0][1][got[1].notices[0].start : got[1].notices[0].stop] == "Released under the MIT License."
 
 
+WRAPPED = {
+    "bsd": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are\n# met:",
+    "gpl": " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or",
+    "mit": "Permission is hereby granted, free of charge, to any\nperson obtaining a copy of this software and\nassociated documentation files",
+    "proprietary": "All rights reserved.",
+}
+
+
+def test_licences_over_lines_and_short():
+    m = licenses.LicenceModel(["some plain words of a text", "and others in it, for any use of this"] * 50)
+    for family, notice in WRAPPED.items():
+        text = f"abc def ghi\n{notice}\nxyz abc\n\nuvw"
+        got = m.spans(text)
+        assert [(x["family"], text[x["start"] : x["stop"]]) for x in got] == [(family, notice)]
+    # a blank line, or one of marks alone, ends a notice
+    for gap in ("\n\n", "\n#\n"):
+        assert m.spans(f"Redistribution and use in source and{gap}binary forms, with or without modification, are permitted") == []
+    both = m.spans("Released under the MIT License.\nLicensed under the Mozilla Public License 2.0.")
+    assert [x["family"] for x in both] == ["mit", "mpl"]
+
+
 # 6 toxicity
 
 

@@ -20,7 +20,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "gpl": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: GPL-3.0-or-later", "Licensed under the GNU GPL v3."),
     "mit": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT", "Licensed under the MIT license."),
     "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0", "Licensed under the Mozilla Public License 2.0."),
-    "proprietary": ("All rights reserved. No part of this publication may be reproduced without prior written permission.", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited."),
+    "proprietary": ("All rights reserved.", "All rights reserved. No part of this publication may be reproduced without prior written permission.", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited."),
 }
 FAMILIES = [*sorted(TEMPLATES), "unknown"]
 #: Paragraphs the unknown class is fitted on at most, from documents with the smallest hash of their id.
@@ -29,7 +29,7 @@ FIT_DOCS, FIT_PARAGRAPHS = 400, 4000
 LEAST_PROBABILITY, LEAST_SHARED = 0.5, 0.6
 
 _word = re.compile(r"[a-z0-9]+")
-_paragraph = re.compile(r"[^\n]+")
+_line = re.compile(r"[^\n]+")
 
 
 def _grams(words: list[str], anchors: set[str]) -> set[str]:
@@ -82,6 +82,9 @@ class LicenceModel:
         z, yc = np.stack([self._logits(w) for w, _ in cut]), np.array([k for _, k in cut])
         self.temperature = min((float(-np.log(self._soft(z / t)[np.arange(len(yc)), yc] + 1e-9).mean()), t) for t in (0.25, 0.5, 0.75, 1.0, 1.5, 2.0))[1]
         self.pairs = {f: [set(zip(w, w[1:], strict=False)) for w in (_word.findall(t.lower()) for t in TEMPLATES[f])] for f in TEMPLATES}
+        self.all_pairs = set().union(*(t for ts in self.pairs.values() for t in ts))
+        #: Words of the lines between a notice's first and last: twice the longest template leaves room for words of other wordings.
+        self.most_between = 2 * max(len(_word.findall(t.lower())) for ts in TEMPLATES.values() for t in ts)
 
     @staticmethod
     def _soft(z: np.ndarray) -> np.ndarray:
@@ -92,31 +95,56 @@ class LicenceModel:
         at = [self.index[g] for g in _grams(words, self.anchors) if g in self.index]
         return self.w[-1] + (self.w[at].sum(axis=0) / len(at) ** 0.5 if at else 0)
 
-    def paragraph(self, text: str) -> tuple[str, float] | None:
-        """Family and probability of a confirmed notice, else None."""
-        words = _word.findall(text.lower())
-        if self.anchors.isdisjoint(words):
+    def _shared(self, family: str, pairs: set) -> int:
+        """Word pairs shared with the template of the family that shares most, of those that confirm; 0 if none does."""
+        return max((n for t in self.pairs[family] if (n := len(t & pairs)) >= LEAST_SHARED * len(t)), default=0)
+
+    def paragraph(self, words: list[str]) -> tuple[int, str, float] | None:
+        """Pairs shared, family and probability of a confirmed notice, else None."""
+        pairs = self.all_pairs.intersection(zip(words, words[1:], strict=False))
+        if not any(self._shared(f, pairs) for f in self.pairs):
             return None
         p = self._soft(self._logits(words) / self.temperature)
-        pairs = set(zip(words, words[1:], strict=False))
         for k in np.argsort(-p)[:2]:
-            if FAMILIES[k] != "unknown" and p[k] >= LEAST_PROBABILITY and any(len(t & pairs) >= LEAST_SHARED * len(t) for t in self.pairs[FAMILIES[k]]):
-                return FAMILIES[k], float(p[k])
+            if FAMILIES[k] != "unknown" and p[k] >= LEAST_PROBABILITY and (n := self._shared(FAMILIES[k], pairs)):
+                return n, FAMILIES[k], float(p[k])
         return None
 
     def spans(self, text: str) -> list[dict]:
+        """Notices of one line or of several adjacent ones, none of them without words; those that share most with a template first, then the shortest."""
         if self.anchors.isdisjoint(_word.findall(text.lower())):
             return []
-        found = ((m, self.paragraph(m[0])) for m in _paragraph.finditer(text))
-        return [{"start": m.start(), "stop": m.end(), "family": f[0], "probability": f[1]} for m, f in found if f]
+        lines = [(m.start(), m.end(), _word.findall(m[0].lower())) for m in _line.finditer(text)]
+        found = []
+        for i, (_, end, words) in enumerate(lines):
+            words, j, between = list(words), i, 0
+            # a notice begins in its first line: with a pair in it, or across its end
+            if not words or self.all_pairs.isdisjoint(zip(words, [*words[1:], *(lines[i + 1][2][:1] if i + 1 < len(lines) else [])], strict=False)):
+                continue
+            while True:
+                if not self.anchors.isdisjoint(words) and (got := self.paragraph(words)):
+                    found.append((-got[0], j - i, i, j, got[1:]))
+                between += len(lines[j][2]) if j > i else 0
+                j += 1
+                if j == len(lines) or not lines[j][2] or text.count("\n", end, lines[j][0]) > 1 or between > self.most_between:
+                    break
+                end = lines[j][1]
+                words += lines[j][2]
+        taken: set[int] = set()
+        out = []
+        for _, _, i, j, (family, p) in sorted(found):
+            if taken.isdisjoint(range(i, j + 1)):
+                taken.update(range(i, j + 1))
+                out.append({"start": lines[i][0], "stop": lines[j][1], "family": family, "probability": p})
+        return sorted(out, key=lambda x: x["start"])
 
 
 def scan_licences(docs: DataFrame) -> DataFrame:
     """doc_id, notices (start, stop, family, probability; offsets in code points) and families (sorted, distinct) of every row of docs.
 
-    Whole texts are read; a paragraph is a line. The model is fitted on the templates and on paragraphs of at most
-    FIT_DOCS documents that look like no template; a very long paragraph is one paragraph. Null or empty text: no
-    notices. Rows stay as they are; other columns are left out.
+    Whole texts are read; a notice is a line or adjacent lines, as far as none is without words. The model is fitted on
+    the templates and on lines of at most FIT_DOCS documents that look like no template; a very long line is one line.
+    Null or empty text: no notices. Rows stay as they are; other columns are left out.
     """
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
