@@ -161,6 +161,41 @@ def test_media_copies(spark):
     assert all(comp[i] == i for i in range(12)) and comp[200] == 200 and comp[201] == 201
 
 
+def test_media_copies_among_many_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    ims = {i: media._mosaic(rng.normal(0, 0.125, 64)) for i in range(150)}
+    copies = {1000 + i: np.clip(ims[i][5:-3, 4:-5] * 0.9 + 15, 0, 255).astype(np.uint8) for i in range(110, 150)}
+    ims |= copies
+    rows = [(i, im.shape[1], im.shape[0], np.ascontiguousarray(im).tobytes()) for i, im in ims.items()]
+    comp = {r.image_id: r.component_id for r in media.image_copies(spark.createDataFrame(rows, "image_id long, width int, height int, pixels binary")).collect()}
+    seen = {i: media.corners(im) for i, im in ims.items()}
+    up = {i: i for i in ims}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in sorted(ims):
+        for j in sorted(ims):
+            if i < j:
+                (p, d), (q, e) = seen[i], seen[j]
+                a, b = np.nonzero((d[:, None] == e[None]).any(axis=2))
+                if media.consensus(np.concatenate([p[a], q[b]], axis=1).astype(np.float32).astype(float)) >= media.AGREE:
+                    x, y = sorted((root(i), root(j)))
+                    up[y] = x
+    assert comp == {i: root(i) for i in ims} and sum(comp[i] == comp[i - 1000] for i in copies) >= 36
+
+
+def test_media_copies_are_found_among_many_others(spark):
+    rng = np.random.default_rng(9)
+    ims = {i: media._mosaic(rng.normal(0, 0.125, 64)) for i in range(1500)}
+    ims |= {10_000 + i: np.clip(ims[i][5:-3, 4:-5] * 0.9 + 15, 0, 255).astype(np.uint8) for i in range(1460, 1500)}
+    rows = [(i, im.shape[1], im.shape[0], im.tobytes()) for i, im in ims.items()]
+    comp = {r.image_id: r.component_id for r in media.image_copies(spark.createDataFrame(rows, "image_id long, width int, height int, pixels binary")).collect()}
+    assert sum(comp[10_000 + i] == comp[i] for i in range(1460, 1500)) >= 39 and sum(comp[i] != i for i in range(1500)) <= 3
+
+
 # 4 html
 
 
