@@ -214,6 +214,27 @@ def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
 
+ARTICLE = "<h1>Title</h1><p>First paragraph, with commas, that is long enough.</p><p>Second one, which is long enough as well.</p>"
+ARTICLE_TEXT = "Title\n\nFirst paragraph, with commas, that is long enough.\n\nSecond one, which is long enough as well."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<div class="main-content has-sidebar">{ARTICLE}</div><div class="sidebar">Other things, to be read elsewhere.</div>',
+        f'<div class="overflow-hidden">{ARTICLE}</div>',
+        f'<div id="content" class="no-sidebar">{ARTICLE}</div>',
+        ARTICLE.replace("<h1>Title</h1>", '<article><div class="entry-header"><h1>Title</h1></div>') + "</article>",
+        f'<div title="the hidden gem" data-id="ad-1">{ARTICLE}</div>',
+        f"<div title='see class=\"ad\" or id=nav' data-class=ad>{ARTICLE}</div>",
+        f'<div id="x">{ARTICLE}</div><div class="comments"><p>{"I think, dear author, this is a long comment. " * 20}</p></div>',
+        f'<article>{ARTICLE}<div class="ad"><p>{"Buy this, now and here, it is good. " * 20}</p></div></article>',
+    ],
+)
+def test_main_text_is_not_dropped_by_a_name_alone(page):
+    assert html_text.main_text(page) == ARTICLE_TEXT
+
+
 def test_html_table(spark):
     rows = html_text.extract_main_text(spark.createDataFrame([(1, None, None, "x"), (1, "u", "<p>é &amp; b", "x")], "page_id long, url string, html string, text string")).collect()
     assert sorted((r.url or "", r.text, r.n_chars) for r in rows) == [("", "", 0), ("u", "é & b", 5)]

@@ -28,11 +28,13 @@ UNLIKELY = frozenset(
     "header comment comments comentarios kommentare commentaires disqus discussion replies reply respond responses cookie cookies consent gdpr notice notices notification notifications alert newsletter subscribe subscription signup login paywall popup modal overlay "
     "share sharing social related recommended recommendations trending popular pagination pager tags tagcloud outbrain taboola skip hidden".split()
 )
+#: Those of them that name other people's texts: they may be longer than the article.
+OTHERS = frozenset("ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion promoted comment comments comentarios kommentare commentaires disqus discussion replies reply respond responses outbrain taboola".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar note status".split())
 LIKELY = frozenset("article articlebody body content entry main maincontent page post story text blog".split())
 
 _tag = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?][^>]*(?:>|\Z)|<(?=/?[a-zA-Z])[^>]*\Z""", re.S)
-_attr = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$)""", re.I)
+_attr = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _words = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _raw_end = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
@@ -40,12 +42,14 @@ _raw_end = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 class Node:
     """An element with its children in order: nodes, texts and None for a line break."""
 
-    __slots__ = ("name", "children", "parent", "likely", "dropped", "score")
+    __slots__ = ("name", "children", "parent", "likely", "unlikely", "dropped", "score")
 
     def __init__(self, name: str, parent: Node | None, attrs: str = "") -> None:
         self.name, self.parent, self.children = name, parent, []
         self.score: float | None = None
         self.likely, self.dropped = 0, name in DROPPED
+        #: Words of the class and id that name what is no article; _settle() decides by text, too, whether it is dropped.
+        self.unlikely: set[str] = set()
         if attrs and not attrs.isspace():
             for m in _attr.finditer(attrs):
                 key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -55,10 +59,10 @@ class Node:
                     self.dropped |= key == "hidden" or value.lower() == "true"
                 elif key == "style":
                     self.dropped |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
-                else:
+                elif key in ("class", "id"):
                     words = {w.lower() for w in _words.findall(value)}
-                    if words & UNLIKELY and name not in ("html", "body", "article", "main"):
-                        self.dropped = True
+                    if name not in ("html", "body", "article", "main"):
+                        self.unlikely |= words & UNLIKELY
                     self.likely += bool(words & LIKELY)
 
 
@@ -171,6 +175,34 @@ def _blocks(top: Node, out: list[tuple[str, Node, int]]) -> None:
     flush()
 
 
+def _settle(root: Node, blocks: list[tuple[str, Node, int]]) -> bool:
+    """Drops elements of an unlikely name, but those of a likely name too and those that hold most of the unlinked text. Whether any was dropped.
+
+    What names other people's texts is spared for its text only if no other text stands outside unlikely elements.
+    """
+    free: dict[int, int] = {}
+    total, outside = 0, False
+    for text, node, linked in blocks:
+        total += len(text) - min(linked, len(text))
+        up, apart = node, True
+        while up is not None:
+            free[id(up)] = free.get(id(up), 0) + len(text) - min(linked, len(text))
+            apart &= not up.unlikely or up.likely > 0
+            up = up.parent
+        outside |= apart and 2 * linked < len(text) and (node.name not in HEADINGS or _inside_article(node))
+    some, stack = False, [root]
+    while stack:
+        node = stack.pop()
+        if node.unlikely and not node.dropped:
+            most = 2 * free.get(id(node), 0) > total and not (outside and node.unlikely & OTHERS)
+            node.dropped = not (node.likely or most)
+            some |= node.dropped
+            node.likely = 0
+        if not node.dropped:
+            stack += [x for x in node.children if isinstance(x, Node)]
+    return some
+
+
 def main_text(page: str) -> str:
     """The main text of one page: blocks joined by blank lines; empty if there is none."""
     if not page:
@@ -178,6 +210,9 @@ def main_text(page: str) -> str:
     root = parse(page)
     blocks: list[tuple[str, Node, int]] = []
     _blocks(root, blocks)
+    if _settle(root, blocks):
+        blocks = []
+        _blocks(root, blocks)
     if not blocks:
         return ""
     scored: dict[int, Node] = {}
