@@ -290,6 +290,25 @@ def test_toxicity_learns_pairs():
     assert ((s > 0) == (y[2000:] > 0.5)).mean() > 0.9
 
 
+@pytest.mark.parametrize("alone", [0.0, 0.3])
+def test_toxicity_learns_pairs_without_signal_of_their_own(alone):
+    """label = a xor b; a part of the rows has a term that tells the label alone instead."""
+    rng = np.random.default_rng(1)
+    terms, y, pair = [], [], []
+    for _ in range(3000):
+        a, b = rng.integers(0, 2, 2)
+        told = rng.random() < alone
+        terms.append(np.unique(np.concatenate([[30 + (a != b)] if told else [10 + a, 20 + b], rng.integers(100, 200, 3)])))
+        y.append(float(a != b))
+        pair.append(not told)
+    y, pair = np.array(y), np.array(pair[2000:])
+    m = toxicity.fit(terms[:2000], y[:2000], epochs=40)
+    assert m.known[[10, 11, 20, 21]].all()
+    s = m.logits(np.concatenate(terms[2000:]), np.concatenate([[0], np.cumsum([len(t) for t in terms[2000:]])]).astype(int))
+    right = (s > 0) == (y[2000:] > 0.5)
+    assert right[pair].mean() > 0.9 and right.mean() > 0.9
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     rows = toxicity.toxicity(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))

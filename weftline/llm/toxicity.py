@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, text_bytes
 
-#: Hashed terms; with FACTORS this bounds the model at 2**18 * 9 * 4 bytes = 9.4 MB, whatever the corpus.
+#: Hashed terms; with FACTORS of each of two machines this bounds the model at 2**18 * 17 * 4 bytes = 17.8 MB, whatever the corpus.
 TERMS, FACTORS = 1 << 18, 8
+#: Parts of the machine over all terms that are tried.
+SHARES = (0.0, 0.25, 0.5, 1.0)
 #: Labelled rows the model is fitted on at most, chosen by a hash of doc_id; each gives at most FIT_TERMS terms.
 FIT_ROWS = 12_000
 THRESHOLD = 0.3
@@ -56,8 +58,9 @@ class FactorizationMachine:
     @classmethod
     def of(cls, at: np.ndarray, w: np.ndarray, v: np.ndarray, bias: float) -> FactorizationMachine:
         """From the known terms alone, their weights and factors."""
-        m = cls(np.zeros(TERMS, bool), bias, np.zeros(TERMS, np.float32), np.zeros((TERMS, FACTORS), np.float32), 1.0)
-        m.known[at], m.w[at], m.v[at] = True, w, v.reshape(-1, FACTORS)
+        v = v.reshape(len(at), -1) if len(at) else np.zeros((0, FACTORS), np.float32)
+        m = cls(np.zeros(TERMS, bool), bias, np.zeros(TERMS, np.float32), np.zeros((TERMS, v.shape[1]), np.float32), 1.0)
+        m.known[at], m.w[at], m.v[at] = True, w, v
         return m
 
     def parts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
@@ -65,6 +68,11 @@ class FactorizationMachine:
         at = np.flatnonzero(self.known).astype(np.int32)
         return at, self.w[at], self.v[at], self.bias
 
+    def plus(self, other: FactorizationMachine, share: float) -> FactorizationMachine:
+        """The machine whose logits are these and share times the other's."""
+        v = np.concatenate([self.v, other.v * np.float32(share**0.5)], axis=1)
+        return FactorizationMachine(self.known | other.known, self.bias + share * other.bias, self.w + np.float32(share) * other.w, v, 1.0)
+
     def logits(self, terms: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """terms of all documents, one after another, which begin at starts (ascending, one past the end last)."""
         out = np.full(len(starts) - 1, self.bias, np.float64)
@@ -81,7 +89,32 @@ class FactorizationMachine:
 
 
 def fit(terms: list[np.ndarray], y: np.ndarray, epochs: int = 14, seed: int = 7) -> FactorizationMachine:
-    """Logistic loss, minibatches and AdaGrad; terms in fewer than 3 documents stay unknown. No rows, or one label alone: the share of label 1 for all."""
+    """Terms that tell something alone, and on top of them a second machine over all terms, as far as it helps rows it has not seen.
+
+    The second learns pairs of which neither term tells anything alone. A fifth of the rows chooses its part, from SHARES:
+    over all terms a few labels also teach much chance. Terms in fewer than 3 documents stay unknown.
+    """
+    rng = np.random.default_rng(seed)
+    kept = rng.random(len(terms)) >= 0.2
+    a, b = np.flatnonzero(kept), np.flatnonzero(~kept)
+    first = _fit(terms, y, epochs, seed)
+    if len(b) < 20 or not 0 < y[a].mean() < 1:
+        return first
+    trial = _fit([terms[i] for i in a], y[a], epochs, seed)
+    over = _fit([terms[i] for i in a], y[a], epochs, seed, trial)
+    starts = np.concatenate([[0], np.cumsum([len(terms[i]) for i in b])]).astype(np.int64)
+    flat = np.concatenate([terms[i] for i in b])
+    z, more = trial.logits(flat, starts), over.logits(flat, starts)
+    # the log loss; a part must lower it clearly
+    loss = [float(np.logaddexp(0, np.where(y[b] > 0.5, -1, 1) * (z + c * more)).mean()) for c in SHARES]
+    best = int(np.argmin(loss))
+    if loss[best] > 0.98 * loss[0]:
+        return first
+    return first.plus(_fit(terms, y, epochs, seed, first), SHARES[best])
+
+
+def _fit(terms: list[np.ndarray], y: np.ndarray, epochs: int, seed: int, under: FactorizationMachine | None = None) -> FactorizationMachine:
+    """Logistic loss, minibatches and AdaGrad. Without under, over terms that tell something alone; with it, over all terms, for what is left of under's logits. No rows, or one label alone: the share of label 1 for all."""
     df = np.zeros(TERMS, np.int64)
     for t in terms:
         df[t] += 1
@@ -91,14 +124,18 @@ def fit(terms: list[np.ndarray], y: np.ndarray, epochs: int = 14, seed: int = 7)
     bias = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
     if n == 0 or share in (0.0, 1.0):
         return FactorizationMachine(np.zeros(TERMS, bool), bias, w, v, 1.0)
-    # terms alike in both labels only add noise: keep those whose counts differ beyond chance
+    # alone, terms alike in both labels only add noise: keep those whose counts differ beyond chance
     pos = np.zeros(TERMS, np.int64)
     for t, k in zip(terms, y, strict=True):
         if k:
             pos[t] += 1
     expect = df * share
     z = (pos - expect) / np.sqrt(np.maximum(expect * (1 - share), 1e-9))
-    known &= np.abs(z) > 2.5
+    if under is None:
+        known &= np.abs(z) > 2.5
+        base = np.zeros(n)
+    else:
+        bias, base = 0.0, under.logits(np.concatenate(terms), np.concatenate([[0], np.cumsum([len(t) for t in terms])]).astype(np.int64))
     rows = [t[known[t]] for t in terms]
     rng = np.random.default_rng(seed)
     v[known] = rng.normal(0, 0.02, (int(known.sum()), FACTORS))
@@ -116,7 +153,7 @@ def fit(terms: list[np.ndarray], y: np.ndarray, epochs: int = 14, seed: int = 7)
             begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             s = np.add.reduceat(v[flat], begin, axis=0)
             q = np.add.reduceat((v[flat] ** 2).sum(axis=1), begin)
-            z = bias + np.add.reduceat(w[flat], begin) + 0.5 * ((s**2).sum(axis=1) - q)
+            z = base[some] + bias + np.add.reduceat(w[flat], begin) + 0.5 * ((s**2).sum(axis=1) - q)
             g = ((1 / (1 + np.exp(-z))) - y[some]) / len(part)
             gr = np.repeat(g, sizes)
             at, back = np.unique(flat, return_inverse=True)
