@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -46,6 +47,7 @@ class Shelf:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/weftline-{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        small_batches(spark)
         atexit.register(self._clear)
 
     def _clear(self) -> None:
@@ -78,10 +80,51 @@ def text_bytes(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit("")).cast("binary")
 
 
+#: Rows and bytes of the batches that go between the JVM and Python workers; both sides hold a few of them a task.
+BATCH_ROWS, BATCH_BYTES = 4096, 8 << 20
+#: What Python workers keep between tasks, by name, and how each is emptied.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH_ROWS and BATCH_BYTES, if they are larger."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}")
+        if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+
+
+def keeps(name: str, clear: Callable[[], None]) -> None:
+    """Workers keep something under name; tasks that don't use it call clear first."""
+    _kept[name] = clear
+
+
+def lean(run: Callable[[Iterator], Iterator], *uses: str) -> Callable[[Iterator], Iterator]:
+    """run, of a worker that first forgets what earlier steps kept, but what run uses, and at last returns free memory.
+
+    Workers are used again by later steps of a job: without this they hold the tables of all of them.
+    """
+
+    def go(batches: Iterator) -> Iterator:
+        for name, clear in _kept.items():
+            if name not in uses:
+                clear()
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+            if trim is not None:
+                trim(0)
+
+    return go
+
+
 MASK = (1 << 64) - 1
 _word: dict[bytes, int] = {}
 #: Words kept hashed in a Python worker before the table is emptied; a bound of memory, not of the words that count.
 KEEP_WORDS = 150_000
+keeps("words", _word.clear)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -134,11 +177,12 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(i, step)
 
 
-def arrow_map(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
-    """df.mapInArrow with a function of one record batch, which slices() keeps small; make() runs once in each task."""
+def arrow_map(df: DataFrame, make: Callable[[], Callable], schema: str, *uses: str) -> DataFrame:
+    """df.mapInArrow with a function of one record batch, which slices() keeps small; make() runs once in each task. uses: see lean()."""
 
     def run(batches: Iterator) -> Iterator:
         f = make()
         yield from map(f, slices(batches))
 
-    return df.mapInArrow(run, schema)
+    small_batches(df.sparkSession)
+    return df.mapInArrow(lean(run, *uses), schema)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shelf, arrow_map, shingle_set, slices, text_bytes
+from .common import Shelf, arrow_map, lean, shingle_set, slices, text_bytes
 from .components import connected_components
 
 #: A pair at similarity 0.8 is missed with probability (1 - 0.8**ROWS)**BANDS = 1.3e-7.
@@ -162,7 +162,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     spark = docs.sparkSession
     shelf = Shelf(spark, "near")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), text_bytes().alias("text"))
-    signed = shelf.put(arrow_map(plain, _sign(k, bands, rows), "doc_id long, row_hash long, n_shingles long, digest binary, bands array<long>, sig binary"), "signed")
+    signed = shelf.put(arrow_map(plain, _sign(k, bands, rows), "doc_id long, row_hash long, n_shingles long, digest binary, bands array<long>, sig binary", "words"), "signed")
 
     reps = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"))
     reps = shelf.put(reps, "reps")
@@ -180,16 +180,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     node = reps.join(wanted, "id")
     picked = signed.select("digest", "doc_id").join(F.broadcast(node) if few else node, "digest").filter("doc_id = id").select("id").distinct()
     texts = plain.drop("row_hash").withColumnRenamed("doc_id", "id").join(F.broadcast(picked) if few else picked, "id")
-    sets = shelf.put(arrow_map(texts, _sets(k), "id long, set binary"), "sets")
+    sets = shelf.put(arrow_map(texts, _sets(k), "id long, set binary", "words"), "sets")
 
     least = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / (bands * rows)) ** 0.5
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """pairs (u, v), distinct: those that are links."""
         p = pairs.join(sigs.select(F.col("id").alias("v"), F.col("sig").alias("sig_v")), "v").join(sigs.select(F.col("id").alias("u"), F.col("sig").alias("sig_u")), "u")
-        p = shelf.put(p.select("u", "v", "sig_u", "sig_v").mapInArrow(_alike(least), "u long, v long"), "alike")
+        p = shelf.put(p.select("u", "v", "sig_u", "sig_v").mapInArrow(lean(_alike(least)), "u long, v long"), "alike")
         p = p.join(sets.select(F.col("id").alias("v"), F.col("set").alias("set_v")), "v").join(sets.select(F.col("id").alias("u"), F.col("set").alias("set_u")), "u")
-        return p.select("u", "v", "set_u", "set_v").mapInArrow(_confirm(percent), "u long, v long").distinct()
+        return p.select("u", "v", "set_u", "set_v").mapInArrow(lean(_confirm(percent)), "u long, v long").distinct()
 
     def stars(open_members: DataFrame) -> DataFrame:
         """(bucket, c): in each bucket the member in most company, of equals the smallest id."""
@@ -239,7 +239,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     at = m.join(centre, "bucket").filter("id != c").select("c", "id", "component").distinct()
     at = at.join(comps.select(F.col("node").alias("c"), F.col("component").alias("cc")), "c", "left").withColumn("off", F.col("component") != F.coalesce("cc", "c"))
     at = at.join(sets, "id").join(sets.select(F.col("id").alias("c"), F.col("set").alias("set_c")), "c")
-    at = shelf.put(at.select("c", "id", "component", "off", "set", "set_c").mapInArrow(_beside, "c long, id long, component long, off boolean, n long, n_c long, both long, rest array<long>, " + ", ".join(f"{x} long" for x in LACKING)), "beside")
+    at = shelf.put(at.select("c", "id", "component", "off", "set", "set_c").mapInArrow(lean(_beside), "c long, id long, component long, off boolean, n long, n_c long, both long, rest array<long>, " + ", ".join(f"{x} long" for x in LACKING)), "beside")
     rest = at.select("c", "id", "component", "off", F.explode("rest").alias("g"))
     counts = rest.groupBy("c", "g").agg(F.count("*").alias("times")).filter("times > 1")
     rest = shelf.put(rest.join(counts, ["c", "g"]), "rest")

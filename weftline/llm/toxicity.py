@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, text_bytes
+from .common import arrow_map, keeps, lean, text_bytes
 
 #: Hashed terms; with FACTORS of each of two machines this bounds the model at 2**18 * 17 * 4 bytes = 17.8 MB, whatever the corpus.
 TERMS, FACTORS = 1 << 18, 8
@@ -23,6 +23,7 @@ FIT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("terms", pa.
 
 _known: dict[bytes, tuple[int, ...]] = {}
 KEEP_WORDS = 100_000
+keeps("terms", _known.clear)
 _edge = re.compile(r"^\W+|\W+$")
 
 
@@ -192,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int =
 
         return f
 
-    terms = arrow_map(sample.select("doc_id", "y", "text"), make, "doc_id long, y int, terms binary")
+    terms = arrow_map(sample.select("doc_id", "y", "text"), make, "doc_id long, y int, terms binary", "terms")
 
     def fitted(batches):
         """The model of all rows, as its known terms with their weights."""
@@ -203,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int =
         yield pa.record_batch([*(pa.array([x.tobytes()], pa.binary()) for x in parts), pa.array([bias])], ["at", "w", "v", "bias"])
 
     # at most rows rows meet in one task, so that the driver holds neither the sample nor what fitting needs
-    row = terms.repartition(1).mapInArrow(fitted, "at binary, w binary, v binary, bias double").first()
+    row = terms.repartition(1).mapInArrow(lean(fitted), "at binary, w binary, v binary, bias double").first()
     return FactorizationMachine.of(np.frombuffer(row.at, np.int32), np.frombuffer(row.w, np.float32), np.frombuffer(row.v, np.float32), row.bias)
 
 
@@ -233,7 +234,7 @@ def score(docs: DataFrame, model: FactorizationMachine, keep: list[str] | None =
 
     d = docs.select(*keep, text_bytes().alias("__text"))
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema.fields)
-    return arrow_map(d, make, f"{kinds}score double")
+    return arrow_map(d, make, f"{kinds}score double", "terms")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
