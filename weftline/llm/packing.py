@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Shelf, arrow_map, text_bytes
+from .common import Shelf, arrow_map, keeps, text_bytes
 
 #: Words whose ids a Python worker keeps before it empties the table.
 KEEP_WORDS = 300_000
@@ -100,6 +100,9 @@ def word_bpe(path: str) -> WordBPE:
     return WordBPE(path)
 
 
+keeps("ids", word_bpe.cache_clear)
+
+
 def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's ids followed by id 0, cut at capacity."""
 
@@ -122,7 +125,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFram
 
         return f
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")), make, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")), make, "doc_id long, piece int, start long, length long, ids_crc32 long", "ids")
 
 
 def _price(lengths: np.ndarray, value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,34 +146,49 @@ def _cover(lengths: np.ndarray, need: np.ndarray, capacity: int, rounds: int) ->
     """The configuration linear program min sum(x) with sum(x_c * copies_c) >= need, by multiplicative weights.
 
     A weight starts at the tokens of its length and shrinks exponentially with the share of the need that is met,
-    so lengths that lag are dear. In each round one price table serves a pattern for every length, longest first:
-    one copy of it and the dearest fill of the room it leaves. A round meets one part in rounds of each need.
-    Patterns: (x, {index of length: copies}).
+    so lengths that lag are dear. In each round one price table serves patterns for every length, longest first: one
+    copy of it and the dearest fill of the room it leaves, of lengths that are not yet met. A round meets one part in
+    rounds of each need, a length that fills others up to two parts; a pattern is repeated until one of its lengths is
+    met, so a round gives at most one pattern for each length and one more for each that is met. Patterns: (x, {index of length: copies}).
     """
     met, out, steps = np.zeros(len(lengths)), [], (0.5, 4.0)
+    size = lengths.tolist()
     for r in range(1, rounds + 1):
         share = met / need
         eta = steps[0] + (steps[1] - steps[0]) * r / rounds
-        _, took = _price(lengths, lengths * np.exp(-eta * (share - share.min())) * (share < 1), capacity)
-        for i in range(len(lengths) - 1, -1, -1):
-            x = need[i] * r / rounds - met[i]
-            if x <= 0:
-                continue
-            pattern, c = {i: 1}, capacity - int(lengths[i])
-            while c > 0:
-                j = int(took[c])
-                if j >= 0:
+        value = lengths * np.exp(-eta * (share - share.min())) * (share < 1)
+        best, took = _price(lengths, value, capacity)
+        due = need * r / rounds - met
+        spare = np.minimum(need, need * (r + 1) / rounds) - met
+        open_value = np.where(spare > 1e-9, value, -np.inf)
+        for i in range(len(size) - 1, -1, -1):
+            while due[i] > 1e-9:
+                pattern, c = {i: 1}, capacity - size[i]
+                while c >= size[0]:
+                    j = int(took[c])
+                    if j < 0:
+                        c -= 1
+                        continue
+                    if spare[j] <= 1e-9:
+                        k = int(np.searchsorted(lengths, c, "right"))
+                        v = best[c - lengths[:k]] + open_value[:k]
+                        j = int(v.argmax())
+                        if v[j] == -np.inf:
+                            break
                     pattern[j] = pattern.get(j, 0) + 1
-                    c -= int(lengths[j])
-                else:
-                    c -= 1
-            x /= pattern[i]
-            for j, k in pattern.items():
-                x = min(x, max(need[j] - met[j], 0) / k)
-            if x > 0:
+                    c -= size[j]
+                x = due[i] / pattern[i]
+                for j, k in pattern.items():
+                    x = min(x, spare[j] / k)
+                if x <= 0:
+                    break
                 out.append((x, pattern))
                 for j, k in pattern.items():
                     met[j] += x * k
+                    due[j] -= x * k
+                    spare[j] -= x * k
+                    if spare[j] <= 1e-9:
+                        open_value[j] = -np.inf
     return out
 
 
@@ -193,36 +211,51 @@ def _best_fit(lengths: np.ndarray, need: np.ndarray, capacity: int) -> list[tupl
     return [(1, b) for b in bins]
 
 
-def pack_histogram(counts: dict[int, int], capacity: int, rounds: int = 8, passes: int = 3) -> list[tuple[int, dict[int, int]]]:
+#: Rounds of the linear program over what each pass leaves. Passes take patterns that leave this part of a sequence free
+#: at most, as long as each places a quarter of what was left, then larger parts.
+ROUNDS, FREE = (8, 4, 2, 2, 1), (0.0005, 0.002, 0.01, 1.0)
+#: Pieces that may be left to best fit, a bound of its work. Passes that waste more come only beyond it.
+FEW = 60_000
+
+
+def pack_histogram(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
     """Patterns (how often, {length: copies}) that hold counts[length] pieces of each length exactly.
 
-    The fractional solution is rounded down and never above what is left; what is left is solved again, and
-    best-fit decreasing places the pieces that are too few to fill whole patterns. Work depends on the number of
-    distinct lengths and on rounds; the pieces left to best fit are bounded by the patterns of the last pass.
-    No pieces: no patterns.
+    The fractional solution is rounded down and never above what is left; what is left is solved again. The first
+    passes take patterns that fill their sequences, the others any, as long as more than FEW pieces are left and
+    rounding leaves less than three quarters of them. Best-fit decreasing places the rest, which is bounded by FEW or
+    one set of pieces for each pattern of the last pass: of few pieces a length, rounding down leaves nearly all. Work,
+    patterns and pieces left to best fit depend on capacity, the number of distinct lengths and rounds, not on the
+    number of pieces. No pieces: no patterns.
     """
     lengths = np.array(sorted(n for n, k in counts.items() if k > 0), np.int64)
     left = np.array([counts[n] for n in lengths.tolist()], np.int64)
-    out = []
+    times: dict[tuple[tuple[int, int], ...], int] = {}
+
+    def add(n: int, pattern: dict[int, int]) -> None:
+        key = tuple(sorted(pattern.items(), reverse=True))
+        times[key] = times.get(key, 0) + n
+
     full = lengths == capacity
     if full.any():
-        out.append((int(left[full][0]), {capacity: 1}))
+        add(int(left[full][0]), {capacity: 1})
         lengths, left = lengths[~full], left[~full]
-    for _ in range(passes):
-        on = np.flatnonzero(left)
-        if not len(on):
-            break
-        before = left.sum()
-        for x, pattern in _cover(lengths[on], left[on].astype(float), capacity, rounds):
-            n = min(int(x + 1e-9), *(int(left[on[j]]) // k for j, k in pattern.items()), 1 << 62)
-            # room that no length fills is left to best fit, which may find better
-            if n and capacity - sum(int(lengths[on[j]]) * k for j, k in pattern.items()) < 1 + capacity // 1000:
-                out.append((n, {int(lengths[on[j]]): k for j, k in pattern.items()}))
-                for j, k in pattern.items():
-                    left[on[j]] -= n * k
-        if left.sum() > 0.75 * before:
-            break
-    return out + _best_fit(lengths, left, capacity)
+    for free in FREE:
+        turn = 0
+        while left.sum() > (FEW if turn or free > FREE[0] else 0):
+            on, before = np.flatnonzero(left), left.sum()
+            for x, pattern in _cover(lengths[on], left[on].astype(float), capacity, ROUNDS[min(turn, len(ROUNDS) - 1)]):
+                n = min(int(x + 1e-9), *(int(left[on[j]]) // k for j, k in pattern.items()), 1 << 62)
+                if n and capacity - sum(int(lengths[on[j]]) * k for j, k in pattern.items()) <= free * capacity:
+                    add(n, {int(lengths[on[j]]): k for j, k in pattern.items()})
+                    for j, k in pattern.items():
+                        left[on[j]] -= n * k
+            turn += 1
+            if left.sum() > 0.75 * before:
+                break
+    for n, pattern in _best_fit(lengths, left, capacity):
+        add(n, pattern)
+    return [(n, dict(key)) for key, n in times.items()]
 
 
 def _slots(patterns: list[tuple[int, dict[int, int]]]) -> dict[str, np.ndarray]:
@@ -241,11 +274,11 @@ def _slots(patterns: list[tuple[int, dict[int, int]]]) -> dict[str, np.ndarray]:
     return dict(zip(("key", "length", "rank", "first", "copies", "offset"), a.T.copy(), strict=True))
 
 
-def pack(pieces: DataFrame, capacity: int, rounds: int = 8) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     """pieces (doc_id, piece, length, ...) with sequence_id and offset, in as few sequences of capacity as the method finds.
 
-    length is from 1 to capacity. Only the histogram of lengths, at most capacity rows, reaches the driver; the
-    plan that goes back holds a few rows for each of a bounded number of patterns. Ranks inside a length are dealt
+    length is from 1 to capacity. Only the histogram of lengths, at most capacity rows, reaches the driver; the plan
+    that goes back holds a row for each pattern and length, whose number depends on capacity, not on the pieces. Ranks inside a length are dealt
     over buckets of about RANK_ROWS rows, so that a length that holds a third of all pieces is no single task's.
     An empty table gives an empty result.
     """
@@ -256,7 +289,7 @@ def pack(pieces: DataFrame, capacity: int, rounds: int = 8) -> DataFrame:
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
     sizes = shelf.put(dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")), "sizes")
     histogram = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    slots = spark.sparkContext.broadcast(_slots(pack_histogram(histogram, capacity, rounds)))
+    slots = spark.sparkContext.broadcast(_slots(pack_histogram(histogram, capacity)))
 
     before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
     ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1)
@@ -279,12 +312,12 @@ def pack(pieces: DataFrame, capacity: int, rounds: int = 8) -> DataFrame:
     return arrow_map(ranked, make, f"{kinds}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, rounds: int = 8) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataFrame:
     """Whole documents (doc_id, text, ...) as token pieces in sequences of at most capacity tokens.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null text counts as empty, which is the
     closing id 0 alone; only documents longer than capacity are cut. Rows that repeat a doc_id are packed each.
     Other columns are left out.
     """
-    out = pack(tokenized_pieces(docs, tokenizer, capacity), capacity, rounds)
+    out = pack(tokenized_pieces(docs, tokenizer, capacity), capacity)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
