@@ -406,11 +406,31 @@ def test_mixing_edges(spark):
 
 def test_schedule_is_even(spark):
     t = spark.createDataFrame([("a", 10_000, 5, 6000.0), ("b", 10_000, 2, 3000.0), (None, 10_000, 1, 1000.0)], "source string, source_size long, weight long, target double")
-    s = sorted((r.slot, r.source) for r in mixing.schedule(t, 10).collect() if r.slot is not None)
+    s = sorted((r.slot, r.source) for r in mixing.schedule(t, 10).collect() if r.slot < 10_000 // 10)
     for a in range(0, len(s) - 100, 100):
         assert abs(sum(x == "a" for _, x in s[a : a + 100]) - 60) <= 4
 
 
+@pytest.mark.parametrize("step", [None, 1])
+def test_mix_is_even_by_its_slots(spark, step, monkeypatch):
+    """Words by stretches of slots, taken back from the documents: near the targets with the golden-ratio points, far from them without."""
+    if step:
+        monkeypatch.setattr(mixing, "STEP", step)
+    rows = [(i, " ".join(["w"] * 40), "abc"[i % 3]) for i in range(900)]
+    got = mixing.mix(docs_of(spark, rows), block=20).collect()
+    assert {r.source: sum(x.taken for x in got if x.source == r.source) for r in got} == {r.source: int(r.target) for r in got}
+    assert all(r.draws == -(-r.taken // 20) for r in got) and all((r.first_slot is None) == (r.taken == 0) for r in got)
+    # of a the first pass alone is met first: 12,000 words in 600 of all slots up to the last of them
+    first = sorted((r.first_slot, r.source) for r in got if r.first_slot is not None)
+    share = {s: next(r.target for r in got if r.source == s) / 36_000 for s in "abc"}
+    last = min(max(x for x, s in first if s == t) for t in "abc" if share[t] > 0)
+    off = 0.0
+    for a in range(0, last - 200, 200):
+        for s in "abc":
+            off = max(off, abs(40 * sum(a <= x < a + 200 and y == s for x, y in first) / 4000 - share[s]))
+    assert (off < 0.05) if step is None else (off > 0.2)
+
+
 # 10 nearest
 
 

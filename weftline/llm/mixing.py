@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +15,8 @@ WEIGHTS = (5, 2, 1)
 BLOCK = 256
 #: A source's words are taken this many times at most.
 REPEATS = 3
-#: Slots whose ranks one window counts, and parts of the shuffled order of a source (hexadecimal digits).
-CHUNK, PART_DIGITS = 1 << 15, 3
+#: Slots whose ranks one window counts, and rows of a part of a source's shuffled order, if one source has all.
+CHUNK, PART_ROWS = 1 << 15, 4096
 #: Points i * STEP mod 2**31 of the golden-ratio sequence; STEP is the odd number next to 2**31 / 1.618...
 POINTS, STEP = 1 << 31, 1327217885
 #: Equal cells of the unit interval in which slots meet sources.
@@ -58,8 +60,8 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
 
     Slot i has the point i * STEP mod 2**31, and the source is the one whose share of the targets, laid end to end,
     holds it; so each stretch of slots has each source near its share. Where the sequence gives a source fewer
-    slots than its target needs, the last ones follow at the end; slots past the target are left out and the last one is cut.
-    Slots and sources meet in equal cells of the interval by an equi-join. Ranks are counted in chunks of slots and
+    slots than its target needs, by the sequence's discrepancy of a few, the last ones follow at the end in turn; slots past
+    the target are left out and the last one is cut. Slots and sources meet in equal cells of the interval by an equi-join. Ranks are counted in chunks of slots and
     added up over chunks, so no window holds all slots of a source.
     """
     spark = targets.sparkSession
@@ -69,6 +71,7 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
     t = t.withColumn("no", F.row_number().over(order))
     point = lambda c: F.floor(c.cast("decimal(38,0)") * POINTS / F.col("all")).cast("long")
     t = t.withColumn("lo", point(F.col("hi") - F.col("want"))).withColumn("hi", point(F.col("hi"))).withColumn("need", F.ceil(F.col("want") / block))
+    t = t.withColumn("total", F.sum("need").over(Window.partitionBy()))
     # as many slots as the targets need: one row of the sum, exploded in chunks
     width = POINTS // CELLS
     chunks = t.agg(F.sum("need").alias("need")).filter("need > 0").select("need", F.explode(F.sequence(F.lit(0), F.floor((F.col("need") - 1) / CHUNK))).alias("chunk")).repartition("chunk")
@@ -84,19 +87,20 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
     hit = hit.join(counts.select("no", "chunk", "before").hint("merge"), ["no", "chunk"]).select("slot", *of_source, (F.col("turn") + F.col("before")).alias("turn"))
     has = counts.groupBy("no").agg(F.sum("n").alias("has"))
     late = t.join(has, "no", "left").withColumn("has", F.coalesce("has", F.lit(0))).filter("has < need")
-    late = late.select(F.lit(None).cast("long").alias("slot"), *of_source, F.explode(F.sequence("has", F.col("need") - 1)).alias("turn"))
+    late = late.select("no", "total", *of_source[1:], F.explode(F.sequence("has", F.col("need") - 1)).alias("turn"))
+    late = late.select((F.col("total") + F.row_number().over(Window.orderBy("turn", "no")) - 1).alias("slot"), *of_source, "turn")  # a few rows a source
     out = hit.unionByName(late).filter("turn < need")
     return out.select("slot", "source", "source_size", "turn", F.least(F.lit(block), F.col("want") - F.col("turn") * block).alias("words"))
 
 
-def shuffled_spans(docs: DataFrame, sizes: DataFrame, seed: str) -> DataFrame:
+def shuffled_spans(docs: DataFrame, sizes: DataFrame, seed: str, digits: int) -> DataFrame:
     """docs (source, doc_id, size, ...) with start, the words before each in its source's shuffled order.
 
-    The order is that of md5(seed:doc_id), then the row's own hash. Sums run inside 16**PART_DIGITS parts of the order
+    The order is that of md5(seed:doc_id), then the row's own hash. Sums run inside 16**digits parts of the order
     and then over parts, so a hot source is many windows.
     """
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    d = docs.withColumn("key", key).withColumn("part", F.substring("key", 1, PART_DIGITS))
+    d = docs.withColumn("key", key).withColumn("part", F.substring("key", 1, digits))
     parts = d.groupBy("source", "part").agg(F.sum("size").alias("n"))
     parts = parts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = Window.partitionBy("source", "part").orderBy("key", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
@@ -107,40 +111,38 @@ def shuffled_spans(docs: DataFrame, sizes: DataFrame, seed: str) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, repeats: int = REPEATS, block: int = BLOCK, seed: str = "mix") -> DataFrame:
-    """One row per row of docs (doc_id, text, source, ...): doc_id, source, size, source_size, target, taken and row_hash (xxhash64 of text).
+    """One row per row of docs (doc_id, text, source, ...): doc_id, source, size, source_size, target, taken, first_slot, draws and row_hash (xxhash64 of text).
 
-    Every source's documents stand in a shuffled order, cut into blocks of block words (the last may be shorter, then
-    the order starts again); the r-th slot of a source takes its r-th block. taken counts the words of a document in
-    the blocks taken, repeats counted: the sum over a source is its target rounded down, and no document is taken more
-    than repeats times. Reruns agree, as order and points are fixed.
+    Every source's documents stand in a shuffled order, cut into blocks of block words, again from the start where the
+    target is larger than the source; the r-th slot that schedule() gives a source takes its r-th block, the last as
+    much of it as the target asks for. taken counts the words of a document in those blocks, repeats counted: the sum
+    over a source is its target rounded down, and no document is taken more than repeats times. first_slot is where in
+    training it is met first (null if never), and draws how often a slot takes a piece of it. Reruns agree, as order
+    and points are fixed.
 
     Null text: size 0, taken 0. Null source is a source of its own. Rows that repeat a doc_id are told apart by
     their text; equal rows share their span in some order and their counts are the same set each time. Other columns
     are left out. An empty table gives no rows.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words().alias("size"), F.xxhash64("text").alias("row"))
-    d = Shelf(docs.sparkSession, "mixing").put(d, "documents")  # no texts: these are read and their words counted once
+    shelf = Shelf(docs.sparkSession, "mixing")
+    d = shelf.put(d, "documents")  # no texts: these are read and their words counted once
     sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sizes, weights, share, repeats)
-    plan = schedule(targets, block).select("source", F.col("source_size").alias("len"), "turn", F.col("words").alias("cut"))
+    targets = shelf.put(source_targets(sizes, weights, share, repeats), "targets")
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    # blocks of the first pass that reach past the source's end go on at its start: (source, pass, from, to) of words taken
-    spans = plan.withColumn("at", F.col("turn") * block)
-    spans = spans.withColumn("lo", F.pmod("at", "len"))
-    spans = spans.withColumn("pieces", F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("lo") + F.col("cut") - 1) / F.col("len"))), lambda k: F.struct(F.greatest(F.lit(0), F.col("lo") - k * F.col("len")).alias("lo"), F.least("len", F.col("lo") + F.col("cut") - k * F.col("len")).alias("hi"))))
-    spans = spans.select("source", F.explode("pieces").alias("p")).groupBy("source", "p").agg(F.count("*").alias("times"))
-    grid = lambda lo, hi: F.explode(F.sequence(F.floor(lo / block), F.floor((hi - 1) / block)))
-    spans = spans.select(F.col("source").alias("ss"), F.col("p.lo").alias("plo"), F.col("p.hi").alias("phi"), "times", grid(F.col("p.lo"), F.col("p.hi")).alias("pcell"))
-    placed = shuffled_spans(d, sizes, seed)
-    cut = placed.filter("size > 0").select("source", "start", (F.col("start") + F.col("size")).alias("end"))
-    cut = cut.withColumn("cell", grid(F.col("start"), F.col("end")))
-    # a span and a document that meet in several cells count in the first of them; merge, as both are far larger exploded than estimated
-    meet = cut.hint("merge").join(spans, same("source", "ss") & (F.col("cell") == F.col("pcell")))
-    lo, hi = F.greatest("start", "plo"), F.least("end", "phi")
-    meet = meet.filter((hi > lo) & (F.floor(lo / block) == F.col("cell")))
-    took = meet.groupBy("source", "start").agg(F.sum((hi - lo) * F.col("times")).alias("taken"))
-    took = took.select(F.col("source").alias("ks"), F.col("start").alias("kstart"), "taken")
+    digits = max(1, math.ceil(math.log(max(1, d.count()) / PART_ROWS, 16)))
+    tt = targets.select(F.col("source").alias("ts"), "source_size", "target", F.floor("target").cast("long").alias("want"))
+    placed = shuffled_spans(d, sizes, seed, digits).join(tt, same("source", "ts")).drop("ts")
+    # where each pass over the source meets a document, in words of the mix; a block of those is the slot of one turn
+    met = placed.filter("size > 0 and start < want").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("want") - 1 - F.col("start")) / F.col("source_size")))))
+    met = met.withColumn("lo", F.col("pass") * F.col("source_size") + F.col("start")).withColumn("hi", F.least(F.col("lo") + F.col("size"), "want"))
+    met = met.select("source", "start", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))).alias("turn"))
+    slots = schedule(targets, block).select(F.col("source").alias("ss"), F.col("turn").alias("st"), "slot", "words")
+    # merge, as both are far larger exploded than estimated
+    drawn = met.hint("merge").join(slots, same("source", "ss") & (F.col("turn") == F.col("st")))
+    cut = F.least("hi", F.col("turn") * block + F.col("words")) - F.greatest("lo", F.col("turn") * block)
+    took = drawn.groupBy("source", "start").agg(F.sum(cut).alias("taken"), F.min("slot").alias("first_slot"), F.count("*").alias("draws"))
+    took = took.select(F.col("source").alias("ks"), F.col("start").alias("kstart"), "taken", "first_slot", "draws")
     out = placed.join(took, same("source", "ks") & (F.col("start") == F.col("kstart")) & (F.col("size") > 0), "left")
-    tt = targets.select(F.col("source").alias("ts"), "source_size", "target")
-    out = out.join(tt, same("source", "ts"))
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.col("row").alias("row_hash"))
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return out.select("doc_id", "source", "size", "source_size", "target", none("taken"), "first_slot", none("draws"), F.col("row").alias("row_hash"))

@@ -40,7 +40,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "draws")
 
 
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,10 +97,26 @@ WITH d AS (
   SELECT source, source_size, CASE WHEN place < first THEN cap::DOUBLE
     ELSE (max(CASE WHEN place = first THEN total - below END) OVER ())::DOUBLE * weight / (max(CASE WHEN place = first THEN open END) OVER ()) END AS target
   FROM g
-), p AS (SELECT d.*, t.source_size, t.target, (sum(size) OVER (PARTITION BY d.source ORDER BY key, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start, floor(t.target)::BIGINT AS want FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  CASE WHEN size = 0 THEN 0 ELSE size * (want // source_size) + greatest(0, least(start + size, want % source_size) - start) END::BIGINT AS taken
-FROM p
+), u AS (
+  SELECT *, floor(target)::BIGINT AS want, row_number() OVER (ORDER BY source COLLATE "binary" NULLS LAST) AS no FROM t
+), n AS (
+  SELECT *, ceil(want / 256)::BIGINT AS need, (sum(want) OVER (ORDER BY no))::HUGEINT AS hi, (sum(want) OVER ())::HUGEINT AS everything FROM u WHERE want > 0
+), i AS (
+  SELECT *, (hi - want) * 2147483648 // everything AS low, hi * 2147483648 // everything AS high FROM n
+), point AS (SELECT slot, slot % 2147483648 * 1327217885 % 2147483648 AS point FROM (SELECT unnest(range(0, (SELECT sum(need)::BIGINT FROM n))) AS slot)
+), hit AS (
+  SELECT slot, no, need, row_number() OVER (PARTITION BY no ORDER BY slot) - 1 AS turn FROM point JOIN i ON point >= low AND point < high
+), late AS (
+  SELECT (SELECT sum(need) FROM n)::BIGINT + row_number() OVER (ORDER BY turn, no) - 1 AS slot, no, turn
+  FROM (SELECT no, unnest(range(coalesce(has, 0), need)) AS turn FROM n LEFT JOIN (SELECT no AS k, count(*) AS has FROM hit GROUP BY no) ON no = k)
+), slots AS (SELECT slot, no, turn FROM hit WHERE turn < need UNION ALL SELECT slot, no, turn FROM late
+), p AS (SELECT d.*, u.no, u.want, u.source_size, u.target, (sum(size) OVER (PARTITION BY d.source ORDER BY key, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source
+), met AS (SELECT doc_id, no, k * source_size + start AS lo, least(k * source_size + start + size, want) AS hi FROM p, (SELECT unnest([0, 1, 2]) AS k) WHERE size > 0 AND k * source_size + start < want
+), drawn AS (
+  SELECT doc_id, sum(least(hi, 256 * (turn + 1)) - greatest(lo, 256 * turn))::BIGINT AS taken, min(slot) AS first_slot, count(*) AS draws
+  FROM met JOIN slots ON met.no = slots.no AND turn >= lo // 256 AND turn <= (hi - 1) // 256 GROUP BY doc_id
+)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, first_slot, coalesce(draws, 0)::BIGINT AS draws FROM p LEFT JOIN drawn USING (doc_id)
 """
 
 ORACLE_SQL["op10_nearest"] = r"""
