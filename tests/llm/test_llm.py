@@ -312,7 +312,7 @@ def test_toxicity_learns_pairs():
         terms.append(np.unique(np.concatenate([[10] if a else [11], [20] if b else [21], rng.integers(100, 200, 3)])))
         y.append(float(a != b) if rng.random() < 0.98 else float(a == b))
     y = np.array(y)
-    m = toxicity.fit(terms[:2000], y[:2000], epochs=40)
+    m = toxicity.fit(terms[:2000], y[:2000], epochs=40, pair_epochs=40)
     assert m.known[[10, 11, 20, 21]].all()
     s = m.logits(np.concatenate(terms[2000:]), np.concatenate([[0], np.cumsum([len(t) for t in terms[2000:]])]).astype(int))
     assert ((s > 0) == (y[2000:] > 0.5)).mean() > 0.9
@@ -330,13 +330,32 @@ def test_toxicity_learns_pairs_without_signal_of_their_own(alone):
         y.append(float(a != b))
         pair.append(not told)
     y, pair = np.array(y), np.array(pair[2000:])
-    m = toxicity.fit(terms[:2000], y[:2000], epochs=40)
+    m = toxicity.fit(terms[:2000], y[:2000], epochs=40, pair_epochs=40)
     assert m.known[[10, 11, 20, 21]].all()
     s = m.logits(np.concatenate(terms[2000:]), np.concatenate([[0], np.cumsum([len(t) for t in terms[2000:]])]).astype(int))
     right = (s > 0) == (y[2000:] > 0.5)
     assert right[pair].mean() > 0.9 and right.mean() > 0.9
 
 
+def test_toxicity_needs_its_factors():
+    """Toxic is an insult with a group mention, and neither alone: found with the factors, and hardly without them."""
+    rng = np.random.default_rng(3)
+    insults, groups, plain = range(1000, 1008), range(2000, 2008), range(5000, 9000)
+    terms, y = [], []
+    for _ in range(4000):
+        a, b = rng.random(2) < 0.4
+        words = [*rng.choice(plain, 40), *(rng.choice(insults, 1 if a else 0)), *(rng.choice(groups, 1 if b else 0))]
+        terms.append(np.unique(words))
+        y.append(float(a and b))
+    y = np.array(y)
+    m = toxicity.fit(terms[:3000], y[:3000], epochs=60)
+    z = lambda: m.logits(np.concatenate(terms[3000:]), np.concatenate([[0], np.cumsum([len(t) for t in terms[3000:]])]).astype(int))
+    loss = lambda x: np.logaddexp(0, np.where(y[3000:] > 0.5, -1, 1) * x).mean()
+    on, right = loss(z()), ((z() > 0) == (y[3000:] > 0.5)).mean()
+    m.v = np.zeros_like(m.v)
+    assert right > 0.95 and on < 0.5 * loss(z())
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     rows = toxicity.toxicity(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))

@@ -16,7 +16,10 @@ from .common import arrow_map, keeps, lean, text_bytes
 TERMS, FACTORS = 1 << 18, 8
 #: Parts of the machine over all terms that are tried.
 SHARES = (0.0, 0.25, 0.5, 1.0)
-#: Labelled rows the model is fitted on at most, chosen by a hash of doc_id; each gives at most FIT_TERMS terms.
+#: Log loss of held-back rows under which the first machine has left nothing to learn, and the rows and epochs of the
+#: second, which costs as much as all terms of its rows.
+EXPLAINED, PAIR_ROWS, PAIR_EPOCHS = 0.05, 4_000, 6
+#: Labelled rows the model is fitted on at most, chosen by a hash of doc_id; each gives its distinct terms.
 FIT_ROWS = 12_000
 THRESHOLD = 0.3
 FIT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("terms", pa.binary())])
@@ -89,11 +92,12 @@ class FactorizationMachine:
         return out
 
 
-def fit(terms: list[np.ndarray], y: np.ndarray, epochs: int = 14, seed: int = 7) -> FactorizationMachine:
+def fit(terms: list[np.ndarray], y: np.ndarray, epochs: int = 14, seed: int = 7, pair_epochs: int = PAIR_EPOCHS) -> FactorizationMachine:
     """Terms that tell something alone, and on top of them a second machine over all terms, as far as it helps rows it has not seen.
 
-    The second learns pairs of which neither term tells anything alone. A fifth of the rows chooses its part, from SHARES:
-    over all terms a few labels also teach much chance. Terms in fewer than 3 documents stay unknown.
+    The second learns pairs of which neither term tells anything alone, on PAIR_ROWS rows at most. A fifth of the rows
+    chooses its part, from SHARES: over all terms a few labels also teach much chance. If the first machine alone
+    explains those rows, there is no second. Terms in fewer than 3 documents stay unknown.
     """
     rng = np.random.default_rng(seed)
     kept = rng.random(len(terms)) >= 0.2
@@ -102,16 +106,21 @@ def fit(terms: list[np.ndarray], y: np.ndarray, epochs: int = 14, seed: int = 7)
     if len(b) < 20 or not 0 < y[a].mean() < 1:
         return first
     trial = _fit([terms[i] for i in a], y[a], epochs, seed)
-    over = _fit([terms[i] for i in a], y[a], epochs, seed, trial)
     starts = np.concatenate([[0], np.cumsum([len(terms[i]) for i in b])]).astype(np.int64)
     flat = np.concatenate([terms[i] for i in b])
-    z, more = trial.logits(flat, starts), over.logits(flat, starts)
-    # the log loss; a part must lower it clearly
-    loss = [float(np.logaddexp(0, np.where(y[b] > 0.5, -1, 1) * (z + c * more)).mean()) for c in SHARES]
+    loss_of = lambda z: float(np.logaddexp(0, np.where(y[b] > 0.5, -1, 1) * z).mean())
+    z = trial.logits(flat, starts)
+    if loss_of(z) <= EXPLAINED:
+        return first
+    some = rng.permutation(a)[:PAIR_ROWS]
+    more = _fit([terms[i] for i in some], y[some], pair_epochs, seed, trial).logits(flat, starts)
+    # a part must lower the log loss clearly
+    loss = [loss_of(z + c * more) for c in SHARES]
     best = int(np.argmin(loss))
     if loss[best] > 0.98 * loss[0]:
         return first
-    return first.plus(_fit(terms, y, epochs, seed, first), SHARES[best])
+    some = rng.permutation(len(terms))[:PAIR_ROWS]
+    return first.plus(_fit([terms[i] for i in some], y[some], pair_epochs, seed, first), SHARES[best])
 
 
 def _fit(terms: list[np.ndarray], y: np.ndarray, epochs: int, seed: int, under: FactorizationMachine | None = None) -> FactorizationMachine:
@@ -155,7 +164,7 @@ def _fit(terms: list[np.ndarray], y: np.ndarray, epochs: int, seed: int, under:
             s = np.add.reduceat(v[flat], begin, axis=0)
             q = np.add.reduceat((v[flat] ** 2).sum(axis=1), begin)
             z = base[some] + bias + np.add.reduceat(w[flat], begin) + 0.5 * ((s**2).sum(axis=1) - q)
-            g = ((1 / (1 + np.exp(-z))) - y[some]) / len(part)
+            g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[some]) / len(part)
             gr = np.repeat(g, sizes)
             at, back = np.unique(flat, return_inverse=True)
             dw = np.bincount(back, gr) + l2 * w[at]
