@@ -69,8 +69,9 @@ def test_greedy_either(spark):
 
 @pytest.mark.parametrize(("text", "gold", "want"), [('```json\n{"a":1}\n```', {"a": "1"}, 0.8), ('```json {"a":1,"b":2} ```', {"a": "1", "b": "3", "c": "4"}, 0.0), ('```json {"x":1}```', {"a": "1", "b": "2"}, -1.6), ('{"a":1}', {"a": "1"}, -1), ("```json {} ```", {"a": "1"}, -1)])
 def test_reward(spark, text, gold, want):
-    df = spark.createDataFrame([(text, gold)], "t string, g map<string,string>")
-    assert df.select(scoring.reward(scoring.fenced_map(F.col("t")), F.col("g"))).first()[0] == pytest.approx(want)
+    p = spark.createDataFrame([(0, text)], "row_idx long, completion string")
+    g = spark.createDataFrame([(0, json.dumps({k: int(v) for k, v in gold.items()}))], "row_idx long, gold string")
+    assert scoring.reward(p, g).first().reward == pytest.approx(want)
 
 
 @pytest.mark.parametrize(("f1", "attempt", "path"), [([0.5, 0.8, 0.8], 2, "composed"), ([0.2, 0.85, 0.9], 2, "composed"), ([None, None], None, "direct")])
@@ -109,8 +110,8 @@ def test_interfaces(spark):
     raw = json.dumps({"@type": "Interface", "@context": interfaces.CONTEXT, "@id": "dtmi:car:brake;1", "displayName": "B", "description": "d", "contents": [{"@type": "Property", "name": "dockerImage", "schema": "string"}, {"@type": "Property", "name": "speed", "schema": "double"}, {"@type": "Telemetry", "name": "temp"}, 5]})
     df = spark.createDataFrame([(raw,), ('{"@type":"Interface"}',)], "j string").withColumn("v", F.parse_json("j"))
     assert [r[0] for r in df.select(interfaces.valid_interface(F.col("v"))).collect()] == [True, False]
-    r = df.limit(1).withColumn("c", interfaces.contents(F.col("v"))).select(interfaces.properties(F.col("c")).alias("p"), interfaces.names_of(F.col("c"), "Telemetry").alias("t"), interfaces.force_docker_value(F.col("c"), F.lit("dtmi:car:brake;1")).alias("d")).first()
-    assert [(x.name, x.schema) for x in r.p] == [("speed", "double")] and r.t == ["temp"] and r.d[0].value == "registry/brake"
+    r = df.limit(1).withColumn("c", interfaces.contents(F.col("v"))).select(interfaces.properties(F.col("c")).alias("p"), interfaces.names_of(F.col("c"), "Telemetry").alias("t"), interfaces.force_docker_value(F.col("c"), F.lit("dtmi:car:brake;1"), F.lit("car")).alias("d")).first()
+    assert [(x.name, x.schema) for x in r.p] == [("speed", "double")] and r.t == ["temp"] and r.d[0].value == "registry.local/dtm/car/brake:v1.0.0"
 
 
 def test_sources_and_sinks(spark, tmp_path):
@@ -174,5 +175,88 @@ def test_flows(spark):
 
 
 def test_strict_and_verdict(spark):
-    v = scoring.verdict_score(spark.createDataFrame([(0, '{"verdict":"PASS","fields":{"a":"PASS","b":"FAIL"}}'), (1, "[1]")], "i long, v string"), "v", "i").orderBy("i").collect()
+    v = scoring.verdict_score(spark.createDataFrame([(0, '{"overall_result":"PASS","fields":{"a":{"result":"PASS"},"b":{"result":"FAIL"}}}'), (1, "[1]")], "i long, v string"), "v", "i").orderBy("i").collect()
     assert (v[0].tp, v[0].fp, v[0].overall_ok, v[1].status) == (1, 1, True, "error")
+
+
+def test_values_keep_their_kind(spark):
+    assert score(spark, {"a": 9007199254740993}, {"a": 9007199254740992}).tp == 0 and score(spark, {"a": 1}, {"a": 1.0}).tp == 1
+    shown = [one(spark, V.as_text(V.canonical(F.parse_json("j"))), j=j) for j in ("true", "1.0", "9007199254740993", "1e16", "0.00001", "12345678.5", "null", '"x"')]
+    assert shown == ["True", "1.0", "9007199254740993", "1e+16", "1e-05", "12345678.5", "None", "x"]
+    v = one(spark, V.cast_generated(V.canonical(F.parse_json("j")), F.lit("date")), j="5")
+    assert (v.kind, v.num) == ("num", 5)
+    p = spark.createDataFrame([(0, '```json\n{"k": "1"}\n```')], "row_idx long, completion string")
+    assert scoring.reward(p, spark.createDataFrame([(0, '{"k": 1}')], "row_idx long, gold string")).first().reward == 0
+
+
+def test_ids_and_blocks(spark):
+    assert [one(spark, T.dtmi_component(F.col("s")), s=s) for s in (" dtmi:car:brake:unit;1 ", "dtmi:a:b;x")] == ["brake:unit", ""]
+    assert one(spark, T.dtmi_group(F.col("s")), s="  dtmi: car :b;1") == "car"
+    assert [one(spark, T.python_block(F.col("s")), s=s) for s in ("a ```python\nx = 1\n``` b", "```python\nrest ", "none")] == ["x = 1", "rest", None]
+    assert one(spark, T.display_id(F.lit(True), F.lit("dtmi:a"), F.lit("B's"))) == """@id='dtmi:a', displayName="B's\""""
+    assert one(spark, sinks.stats_text(F.lit(2.5), F.lit(1.0), F.lit(None).cast("double"))) == "min_seconds_per_sample=1.000000\nmax_seconds_per_sample=\navg_seconds_per_sample=2.500000\n\nmin_human=1s\nmax_human=-\navg_human=2.50s/样本"
+
+
+def test_payloads(spark):
+    shown = [one(spark, F.to_json(interfaces.payload(F.parse_json("j"))), j=j) for j in ('{"text":"plain words"}', '{"positive":null,"interface":{"a":1}}', '{"positive":"{\\"a\\":2}"}', '{"b":3}')]
+    assert shown == ['"plain words"', '{"a":1}', '{"a":2}', '{"b":3}']
+
+
+def test_a_third_part_of_a_taken_name_keeps_its_own(spark):
+    rows = [(1, i + 1, n, [("Property", n + str(i))]) for i, n in enumerate(["a", "a", "a_2"])]
+    parts = spark.createDataFrame(rows, "query_id long, position int, subsystem string, entries array<struct<type:string,name:string>>")
+    r = interfaces.compose(parts).first()
+    assert [x.subsystem_key.removesuffix(interfaces.SUFFIX) for x in r.manifest] == ["a", "a_2", "a_2_3"] and len(r.composed) == 3
+
+
+@pytest.mark.parametrize(("said", "want"), [("x {'a': True, 'b': None} y", '{"a": true, "b": null}'), ('see [1, 2] and {"a": 1}', "[1, 2]"), ('{"z": 1, "a": "ü"}', '{"z": 1, "a": "ü"}'), ("(1, 2)", "[1, 2]")])
+def test_json_or_literal(spark, said, want):
+    assert json.loads(one(spark, T.json_or_literal(F.col("s"), strict=True), s=said)) == json.loads(want)
+
+
+def test_json_or_literal_failures(spark):
+    assert one(spark, T.json_or_literal(F.col("s")), s="no value at all") == "no value at all"
+    with pytest.raises(Exception, match="neither JSON nor a literal"):
+        one(spark, T.json_or_literal(F.col("s"), strict=True), s="no value at all")
+
+
+def test_json_text_keeps_order(spark):
+    text = '{ "z" : [1, 2],\n "a b" : "x  \\" y" }'
+    assert one(spark, T.minified_json(F.col("s")), s=text) == json.dumps(json.loads(text), separators=(",", ":"))
+    assert one(spark, T.pretty_json(F.col("s")), s='{"z":1,"a":"ü"}') == '{\n  "z": 1,\n  "a": "ü"\n}'
+
+
+def test_slices_and_caps(spark, tmp_path):
+    df = spark.range(1000).withColumnRenamed("id", "i")
+    assert [sorted(r.i for r in scoring.rows_between(df, "i", a, n).collect()) for a, n in ((990, 0), (5, 3), (0, 2), (2000, 1))] == [list(range(990, 1000)), [5, 6, 7], [0, 1], []]
+    assert scoring.rows_between(df.limit(0), "i", 0, 2).count() == 0
+    assert one(spark, T.capped(F.array(*map(F.lit, [" a ", " ", "b", "c"])), 2)) == ["a", "b"]
+    sinks.write_limited(df, str(tmp_path / "w"), "i", 3)
+    assert sorted(r.i for r in spark.read.json(str(tmp_path / "w")).collect()) == [0, 1, 2]
+    df.write.parquet(str(tmp_path / "d.parquet"))
+    assert readers.dataset(spark, str(tmp_path / "d.parquet")).count() == 1000
+    with pytest.raises(ValueError, match="no dataset format"):
+        readers.dataset(spark, "x.csv")
+
+
+def test_actions_are_named(spark):
+    from weftline.operators import actions
+
+    got = actions.run("decompose", spark.createDataFrame([(1, ["a", " ", "b", "c"])], "query_id long, parts array<string>"), most=2).collect()
+    assert [(r.position, r.sub_query) for r in got] == [(1, "a"), (2, "b")]
+    with pytest.raises(ValueError, match="no action"):
+        actions.run("exec", spark.range(1))
+
+
+def test_terminal_and_fan_out(spark):
+    e = spark.createDataFrame([("a", 1, "assistant_chunk", None), ("a", 2, "fatal", "no model"), ("a", 3, "done", None), ("b", 1, "done", None), ("c", 1, "step_status", None)], "run_id string, seq long, type string, message string")
+    got = {r.run_id: (r.failed, r.message, r.ended_at) for r in fold.terminal(e).collect()}
+    assert got == {"a": (True, "no model", 2), "b": (False, None, 1), "c": (False, None, None)}
+    assert fold.fan_out(e, 2).filter("reader not in (0, 1)").count() == 0
+
+
+def test_records(spark):
+    kind = "query_index long, query string, path string, top1_id long, top1_score double, status string, route_time_seconds double, evaluation struct<overall_ok:boolean,tp:int,fp:int,fn:int,precision:double,recall:double,f1:double>, verify_ok boolean"
+    r = scoring.records(spark.createDataFrame([(0, "äb", "composed", 3, 0.5, "ok", 0.1, (True, 1, 0, 0, 1.0, 1.0, 1.0), True), (1, "x", "no_result", None, None, "no_result", None, None, None)], kind)).orderBy("query_index").collect()
+    assert (r[0].path, r[0].query_length, r[0].interface_match_ok, r[0].tp, r[0].llm_verify_ok) == ("decompose+compose", 2, True, 1, True)
+    assert (r[1].interface_match_ok, r[1].tp, r[1].f1) == (False, None, None) and "top1" not in json.loads(r[1].debug)

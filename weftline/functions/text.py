@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ast
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SPACES = r"(?U)\s+"
 #: Dashes that count as a hyphen (U+2010, U+2012, U+2013, U+2014, U+2212).
@@ -26,13 +31,14 @@ def comparable(c: Column) -> Column:
 
 def dtmi_component(c: Column) -> Column:
     """The component of dtmi:<group>:<component>;<version>, else ''."""
-    return F.regexp_extract(c, r"^dtmi:([^:;]+):([^:;]+);(\d+)$", 2)
+    # fixed value: the id's pattern
+    return F.regexp_extract(F.trim(c), r"^dtmi:([^:;]+):([^;]+);[0-9]+$", 2)
 
 
 def dtmi_group(c: Column) -> Column:
     """The second part of an id of at least three parts led by dtmi, else ''."""
-    parts = F.split(c, ":")
-    return F.when((F.size(parts) >= 3) & (F.get(parts, F.lit(0)) == "dtmi"), F.get(parts, F.lit(1))).otherwise("")
+    parts = F.split(F.trim(c), ":")
+    return F.when((F.size(parts) >= 3) & (F.get(parts, F.lit(0)) == "dtmi"), F.trim(F.get(parts, F.lit(1)))).otherwise("")
 
 
 def safe_name(c: Column, default: str = "subsystem") -> Column:
@@ -52,6 +58,7 @@ def subsystem_name(identifier: Column, display_name: Column, fallback: Column) -
 def json_fenced_or_braced(c: Column) -> Column:
     """The first fenced JSON object, else from the first { to the last }, else the trimmed text."""
     found = lambda p: F.nullif(F.regexp_extract(c, p, 1), F.lit(""))
+    # fixed value: the pattern of a fenced object
     return F.coalesce(found(r"(?s)```json\s*(\{.*?\})\s*```"), found(r"(?s)(\{.*\})"), F.trim(c))
 
 
@@ -107,12 +114,20 @@ def strip_fences(c: Column) -> Column:
 
 
 def python_block(c: Column) -> Column:
-    """The code between ```python and the next fence, trimmed; null without one."""
-    return F.nullif(F.trim(F.regexp_replace(F.regexp_extract(c, r"(?s)```python(.*?)```", 1), r"^\s+|\s+$", "")), F.lit(""))
+    """The code between the first ```python and the next fence, or the end, trimmed; null without one."""
+    code = F.regexp_extract(c, r"(?s)```python(.*?)(?:```|\z)", 1)
+    return F.when(c.contains("```python"), F.regexp_replace(code, r"^\s+|\s+$", ""))
 
 
 def display_id(is_object: Column, identifier: Column, display_name: Column) -> Column:
-    return F.when(is_object, F.format_string("@id=%s, displayName=%s", identifier, display_name)).otherwise("<non-dict interface>")
+    """Both in quotes, null as empty: single ones, unless the text holds a single quote and no double one; a quote that ends the text early is escaped."""
+
+    def quoted(c: Column) -> Column:
+        s = F.regexp_replace(F.coalesce(c, F.lit("")), r"\\", r"\\\\")
+        double = s.contains("'") & ~s.contains('"')
+        return F.when(double, F.concat(F.lit('"'), s, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(s, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+    return F.when(is_object, F.concat(F.lit("@id="), quoted(identifier), F.lit(", displayName="), quoted(display_name))).otherwise("<non-dict interface>")
 
 
 def fill_template(template: str, **columns: Column) -> Column:
@@ -130,3 +145,67 @@ def field_list(fields: Column) -> Column:
 
 def sha256(c: Column) -> Column:
     return F.sha2(c.cast("binary"), 256)
+
+
+def query_length(c: Column) -> Column:
+    """Code points; null counts as empty."""
+    return F.coalesce(F.char_length(c), F.lit(0))
+
+
+def capped(a: Column, most: int) -> Column:
+    """The first most items of an array of text, trimmed, blank ones left out before counting."""
+    return F.slice(F.filter(F.transform(a, lambda x: squeeze_ends(x)), lambda x: x != ""), 1, most)
+
+
+def squeeze_ends(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def minified_json(c: Column) -> Column:
+    """JSON text without white space outside of strings; keys keep their order and text its letters."""
+    return F.regexp_replace(c, r'("(?:[^"\\]|\\.)*+")|\s+', "$1")
+
+
+@F.pandas_udf(StringType())
+def pretty_json(c: pd.Series) -> pd.Series:
+    """JSON text indented by 2, keys in their order; for reports. What is no JSON stays as it is."""
+
+    def one(s):
+        try:
+            return None if s is None else json.dumps(json.loads(s), ensure_ascii=False, indent=2)
+        except ValueError:
+            return s
+
+    return c.map(one)
+
+
+@F.pandas_udf(StringType())
+def _literal(c: pd.Series) -> pd.Series:
+    """The JSON of a literal of Python syntax, null for anything else."""
+
+    def one(s):
+        try:
+            return None if s is None else json.dumps(ast.literal_eval(s), ensure_ascii=False)
+        except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+            return None
+
+    return c.map(one)
+
+
+def json_or_literal(c: Column, strict: bool = False) -> Column:
+    """JSON text of a text that holds JSON, or else a literal of Python syntax.
+
+    strict cuts out the first object or list where the text does not begin with one, and what is neither raises an
+    error; otherwise the whole text is taken and what is neither comes back as it is. Only text that is no JSON
+    reaches a Python worker.
+    """
+    t = squeeze_ends(c)
+    if strict:
+        brace, bracket = F.regexp_extract(t, r"(?s)(\{.*\})", 1), F.regexp_extract(t, r"(?s)(\[.*\])", 1)
+        first = F.when(brace == "", bracket).when(bracket == "", brace).when(F.locate("{", t) < F.locate("[", t), brace).otherwise(bracket)
+        t = F.when(t.startswith("{") | t.startswith("[") | (first == ""), t).otherwise(first)
+    # the JVM's parser stops at the end of the first value: only closed objects and lists, or bare values, count as JSON
+    good = F.coalesce(F.try_parse_json(t).isNotNull() & (_is_json(t, "{") | _is_json(t, "[") | ~t.rlike(r"^[\[{]")), F.lit(False))
+    other = _literal(F.when(~good, t))
+    bad = F.raise_error(F.concat(F.lit("neither JSON nor a literal: "), c)) if strict else c
+    return F.when(c.isNull(), None).when(good, t).when(other.isNotNull(), other).otherwise(bad)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import dtmi_component
+from ..functions.text import display_id, dtmi_component
 
+# What the wire format names.
 SUFFIX = "_properties_and_telemetries"
 #: Keys that hold a payload, first match first.
 PAYLOAD_KEYS = ("positive", "interface", "dtdl", "text", "content", "document", "chunk")
@@ -28,7 +29,7 @@ def valid_interface(v: Column) -> Column:
 
 
 def valid_topic(v: Column) -> Column:
-    ident = get(v, "id")
+    ident = F.trim(get(v, "id"))
     return _is(v, "id", "STRING") & _is(v, "title", "STRING") & _is(v, "brief", "STRING") & ~F.coalesce(ident.rlike("[ -]"), F.lit(True))
 
 
@@ -51,20 +52,22 @@ def names_of(entries: Column, kind: str) -> Column:
     return F.array_distinct(F.transform(F.filter(entries, lambda x: (x["type"] == kind) & x["name"].isNotNull()), lambda x: x["name"]))
 
 
-def force_docker_value(entries: Column, identifier: Column, prefix: str = "registry/") -> Column:
-    """The first string dockerImage property gets a value if it has none: prefix and the id's component, component without one."""
-    hit = lambda x: (x["type"] == "Property") & (x["name"] == "dockerImage") & (F.coalesce(x["schema"], F.lit("string")) == "string")
+def force_docker_value(entries: Column, identifier: Column, topic: Column) -> Column:
+    """The first dockerImage property of schema string gets a value if it has none: registry, topic and the id's component, component without one."""
+    hit = lambda x: (x["type"] == "Property") & (x["name"] == "dockerImage") & (x["schema"] == "string")
     at = F.array_position(F.transform(entries, lambda x: F.coalesce(hit(x), F.lit(False))), True)
     part = dtmi_component(identifier)
-    value = F.concat(F.lit(prefix), F.when(part == "", "component").otherwise(part))
+    # fixed value: the form of an image's name
+    value = F.concat(F.lit("registry.local/dtm/"), topic, F.lit("/"), F.when(F.coalesce(part, F.lit("")) == "", "component").otherwise(part), F.lit(":v1.0.0"))
     return F.transform(entries, lambda x, i: F.when((i + 1 == at) & (F.coalesce(x["value"], F.lit("")) == ""), x.withField("value", value)).otherwise(x))
 
 
 def payload(v: Column) -> Column:
-    """The first payload key that is there, parsed if it is text, else the whole row."""
-    found = F.coalesce(*(get(v, k, "variant") for k in PAYLOAD_KEYS))
+    """The first payload key that is there and not null, parsed if it is text that is JSON, else as it is; without one the whole row."""
+    some = lambda x: F.when(F.schema_of_variant(x) != "VOID", x)
+    found = F.coalesce(*(some(get(v, k, "variant")) for k in PAYLOAD_KEYS))
     text = F.try_parse_json(F.try_variant_get(found, "$", "string"))
-    return F.coalesce(F.when(F.schema_of_variant(found) == "STRING", text).otherwise(found), v)
+    return F.coalesce(F.when(F.schema_of_variant(found) == "STRING", F.coalesce(text, found)).otherwise(found), v)
 
 
 def unwrap_parsed(v: Column) -> Column:
@@ -99,17 +102,40 @@ def build_instance(identifier: Column, docker: Column, generated: Column, teleme
     return out
 
 
+#: Names that a composed interface has of itself.
+HEADER = ("@context", "@id", "@type", "displayName")
+
+
+def _free_key(taken: Column, name: Column, place: Column) -> Column:
+    plain = F.concat(name, F.lit(SUFFIX))
+    return F.when(F.array_contains(taken, plain), F.concat(name, F.lit("_"), place.cast("string"), F.lit(SUFFIX))).otherwise(plain)
+
+
 def compose(parts: DataFrame, query: str = "query_id", position: str = "position", key: str = "subsystem", entries: str = "entries") -> DataFrame:
     """One row per query: composed, a map of subsystem key to entries, and manifest, one struct per part, both in order of position.
 
-    The second and later parts of one key get their position (from 1) into it. If that name is taken, the later part counts.
+    A part whose key an earlier one took, by its name or by its new name, gets its position (from 1) into it; should that
+    be taken too, the later part's entries count. Keys are given in order, part by part, over the few parts of a query.
+    manifest holds, besides position, key and number of entries, the columns vec_id, sub_query, score, interface_id and
+    display_name of parts, as far as it has them, and how the id is shown.
     """
-    again = F.row_number().over(Window.partitionBy(query, key).orderBy(position)) > 1
-    named = parts.withColumn("full_key", F.concat(F.when(again, F.concat(F.col(key), F.lit("_"), F.col(position).cast("string"))).otherwise(F.col(key)), F.lit(SUFFIX)))
-    last = F.row_number().over(Window.partitionBy(query, "full_key").orderBy(F.col(position).desc())) == 1
-    named = named.withColumn("last", last)
-    item = F.struct(F.col(position).alias("position"), F.col("full_key").alias("key"), F.col(entries).alias("entries"), "last")
-    out = named.groupBy(query).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    composed = F.map_from_entries(F.transform(F.filter("items", lambda x: x["last"]), lambda x: F.struct(x["key"], x["entries"])))
-    manifest = F.transform("items", lambda x: F.struct(x["position"].alias("subsystem_idx"), x["key"].alias("subsystem_key"), F.size(x["entries"]).alias("contents_len")))
-    return out.select(query, composed.alias("composed"), manifest.alias("manifest"))
+    more = [c for c in ("vec_id", "sub_query", "score", "interface_id", "display_name") if c in parts.columns]
+    item = F.struct(F.col(position).alias("position"), F.col(key).alias("key"), F.col(entries).alias("entries"), *(F.col(c) for c in more))
+    out = parts.groupBy(query).agg(F.array_sort(F.collect_list(item), lambda a, b: F.when(a["position"] < b["position"], -1).when(a["position"] > b["position"], 1).otherwise(0)).alias("items"))
+    keys = F.aggregate("items", F.array().cast("array<string>"), lambda done, x: F.array_append(done, _free_key(done, x["key"], x["position"])))
+    out = out.withColumn("keys", keys)
+    last = F.filter(F.transform("items", lambda x, i: F.struct(F.get("keys", i).alias("key"), x["entries"].alias("entries"), i.alias("i"))), lambda x: ~F.array_contains(F.slice(F.col("keys"), x["i"] + 2, F.size("keys")), x["key"]))
+    composed = F.map_from_entries(F.transform(last, lambda x: F.struct(x["key"], x["entries"])))
+
+    def row(x: Column, i: Column) -> Column:
+        shown = [display_id(F.lit(True), x["interface_id"], x["display_name"]).alias("interface_id_display")] if {"interface_id", "display_name"} <= set(more) else []
+        return F.struct(x["position"].alias("subsystem_idx"), *(x[c].alias(c) for c in more if c in ("vec_id", "sub_query", "score")), F.get("keys", i).alias("subsystem_key"), F.size(x["entries"]).alias("contents_len"), *shown, *(x[c].alias(c) for c in more if c in ("interface_id", "display_name")))
+
+    return out.select(query, composed.alias("composed"), F.transform("items", row).alias("manifest"))
+
+
+def composed_document(composed: DataFrame, identifier: Column, display_name: Column, query: str = "query_id") -> DataFrame:
+    """compose()'s rows with document, the JSON text of the interface: its header, then the parts' keys in order."""
+    head = F.to_json(F.struct(F.lit(CONTEXT).alias("@context"), identifier.alias("@id"), F.lit("Interface").alias("@type"), display_name.alias("displayName")))
+    body = F.to_json("composed")
+    return composed.withColumn("document", F.when(F.size("composed") == 0, head).otherwise(F.concat(F.regexp_replace(head, r"\}$", ","), F.regexp_replace(body, r"^\{", ""))))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import almost_equal, explode_object, normalized
+from ..functions.text import query_length
+from ..functions.values import almost_equal, explode_object, key, normalized
 
+# Keys that no comparison counts.
 IGNORED = ("@id", "displayName", "dockerImage", "interface")
 
 
@@ -57,7 +59,7 @@ def strict_compare(gold: DataFrame, pred: DataFrame, index: str, gold_json: str,
             e = e.join(telemetry.select(index, "key").distinct(), [index, "key"], "left_anti")
         sides.append(e.select(index, "key", normalized(F.col("value")).alias(name), F.lit(True).alias("in_" + name)))
     j = sides[0].join(sides[1], [index, "key"], "full_outer").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("in_g", "in_p")})
-    j = j.withColumn("ok", F.col("in_g") & F.col("in_p") & F.col("g").eqNullSafe(F.col("p")))
+    j = j.withColumn("ok", F.col("in_g") & F.col("in_p") & key(F.col("g")).eqNullSafe(key(F.col("p"))))
     keys = lambda cond: F.array_sort(F.collect_set(F.when(cond, F.col("key"))))
     per = j.groupBy(index).agg(
         F.count_if("ok").alias("tp"), F.count_if(F.col("in_p") & ~F.col("ok")).alias("fp"), F.count_if(F.col("in_g") & ~F.col("ok")).alias("fn"),
@@ -86,14 +88,28 @@ def subsystem_score(df: DataFrame, retrieved: str, allowed: str, distinct: bool
 
 
 def verdict_score(df: DataFrame, verdict: str, index: str) -> DataFrame:
-    """Counts of a verdict {"verdict": PASS|FAIL, "fields": {name: PASS|FAIL}}: a failed field is fp and fn. A verdict that is no object: status error."""
+    """Counts of a verdict {"overall_result": PASS|FAIL, "fields": {name: {"result": PASS|FAIL}}}: a field that does not pass is fp and fn. A verdict that is no object: status error."""
     spark = df.sparkSession
     v = df.select(index, F.try_parse_json(verdict).alias("v"))
-    flat = spark.sql(f"SELECT `{index}`, upper(try_variant_get(e.value, '$', 'string')) AS mark FROM {{v}}, LATERAL variant_explode(try_variant_get(v, '$.fields', 'variant')) e", v=v)
+    flat = spark.sql(f"SELECT `{index}`, try_variant_get(e.value, '$.result', 'string') AS mark FROM {{v}}, LATERAL variant_explode(try_variant_get(v, '$.fields', 'variant')) e WHERE e.key IS NOT NULL", v=v)
     per = flat.groupBy(index).agg(F.count_if(F.col("mark") == "PASS").alias("tp"), F.count_if(~F.col("mark").eqNullSafe("PASS")).alias("bad"))
     ok = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
     out = v.join(per, index, "left").withColumn("tp", F.coalesce("tp", F.lit(0))).withColumn("fp", F.coalesce("bad", F.lit(0)))
-    return out.select(index, F.when(ok, "ok").otherwise("error").alias("status"), "tp", "fp", F.col("fp").alias("fn"), F.when(ok, F.coalesce(F.upper(F.try_variant_get("v", "$.verdict", "string")) == "PASS", F.lit(False))).alias("overall_ok"))
+    return out.select(index, F.when(ok, "ok").otherwise("error").alias("status"), "tp", "fp", F.col("fp").alias("fn"), F.when(ok, F.coalesce(F.try_variant_get("v", "$.overall_result", "string") == "PASS", F.lit(False))).alias("overall_ok"))
+
+
+def records(df: DataFrame) -> DataFrame:
+    """One flat metrics record per query (query_index, query, path, top1_id, top1_score, status, route_time_seconds, evaluation, verify_ok).
+
+    evaluation is a struct of overall_ok, tp, fp, fn, precision, recall and f1, or null: then interface_match_ok is false
+    and the metrics are null. path direct or composed; without a hit (no_result) there is no evaluation. debug is the
+    nested record as JSON, without the keys that are null.
+    """
+    e = F.col("evaluation")
+    out = df.select("query_index", F.when(F.col("path") == "composed", "decompose+compose").otherwise(F.col("path")).alias("path"), F.col("top1_id"), F.col("top1_score"), "status", query_length(F.col("query")).alias("query_length"), "route_time_seconds", "query", "evaluation", "verify_ok")
+    flat = [F.coalesce(e["overall_ok"], F.lit(False)).alias("interface_match_ok"), *(e[c].alias(c) for c in ("tp", "fp", "fn", "precision", "recall", "f1")), F.when(F.col("path") == "decompose+compose", F.col("verify_ok")).alias("llm_verify_ok")]
+    debug = F.to_json(F.struct("query_index", "query", "path", "status", F.when(F.col("top1_id").isNotNull(), F.struct("top1_id", "top1_score")).alias("top1"), F.col("evaluation")))
+    return out.select("query_index", "path", "top1_id", "top1_score", "status", "query_length", "route_time_seconds", *flat, debug.alias("debug"))
 
 
 def summaries(records: DataFrame, path: str = "path") -> DataFrame:
@@ -110,22 +126,24 @@ def summaries(records: DataFrame, path: str = "path") -> DataFrame:
     return t.withColumn("micro_precision", p).withColumn("micro_recall", r).withColumn("micro_f1", F.try_divide(2 * F.col("micro_precision") * F.col("micro_recall"), F.col("micro_precision") + F.col("micro_recall")))
 
 
-def reward(pred: Column, gold: Column, top: float = 0.8) -> Column:
-    """Reward of a predicted map against a gold map; a null or empty prediction is -1.
+def reward(pred: DataFrame, gold: DataFrame, index: str = "row_idx", text: str = "completion", gold_json: str = "gold", top: float = 0.8) -> DataFrame:
+    """index and reward of every row of pred: its completion's fenced JSON object against the gold object of that index.
 
     Of the predicted keys, one is lost for each key not in gold, each unequal value and each gold key missing; top times
-    what is left over the number of keys, which may be below 0.
+    what is left over the number of keys, which may be below 0. Without a fenced object, with an empty one or without
+    gold: -1. Values are compared by kind, so "1" is not 1. Each side is parsed once.
     """
-    n = F.size(pred)
-    extra = F.size(F.array_except(F.map_keys(pred), F.map_keys(gold)))
-    missing = F.size(F.array_except(F.map_keys(gold), F.map_keys(pred)))
-    unequal = F.size(F.filter(F.map_entries(pred), lambda e: F.array_contains(F.map_keys(gold), e["key"]) & ~e["value"].eqNullSafe(F.try_element_at(gold, e["key"]))))
-    return F.when(pred.isNull() | (n <= 0), -1.0).otherwise(top * (n - extra - missing - unequal) / n)
-
-
-def fenced_map(text: Column) -> Column:
-    """The fenced JSON object of a completion as a map of text; null without one."""
-    return F.try_variant_get(F.try_parse_json(F.nullif(F.regexp_extract(text, r"(?s)```json\s*(\{.*?\})\s*```", 1), F.lit(""))), "$", "map<string,string>")
+    # fixed value: the pattern of a fenced object
+    found = pred.select(index, F.nullif(F.regexp_extract(text, r"(?s)```json\s*(\{.*?\})\s*```", 1), F.lit("")).alias("j"))
+    p = explode_object(found, "j", [index]).select(index, "key", F.col("value").alias("p"), F.lit(1).alias("in_p"))
+    g = explode_object(gold, gold_json, [index]).select(index, "key", F.col("value").alias("g"), F.lit(1).alias("in_g"))
+    j = p.join(g, [index, "key"], "full_outer")
+    n = F.count("in_p")
+    lost = F.count_if(F.col("in_p").isNull() | F.col("in_g").isNull() | ~key(F.col("g")).eqNullSafe(key(F.col("p"))))
+    per = j.groupBy(index).agg(n.alias("n"), (top * (n - lost) / F.nullif(n, F.lit(0))).alias("r"))
+    some = gold.filter(F.coalesce(F.schema_of_variant(F.try_parse_json(gold_json)).startswith("OBJECT"), F.lit(False))).select(index).withColumn("has", F.lit(True))
+    out = pred.select(index).join(per, index, "left").join(some, index, "left")
+    return out.select(index, F.when((F.col("n") > 0) & F.col("has"), F.col("r")).otherwise(-1.0).alias("reward"))
 
 
 def best_attempt(attempts: DataFrame, query: str = "query_id", attempt: str = "attempt", f1: str = "f1", enough: float = 0.81) -> DataFrame:
@@ -135,9 +153,32 @@ def best_attempt(attempts: DataFrame, query: str = "query_id", attempt: str = "a
     return a.select(query, picked.alias("attempt"), F.when(picked.isNull(), "direct").otherwise("composed").alias("path"))
 
 
+def ranked(df: DataFrame, order: str, parts: int = 64) -> DataFrame:
+    """df with rank, from 1, by the number in column order, without a task that sees all rows.
+
+    Rows are cut at approximate quantiles of order, of which only parts numbers reach the driver; ranks are counted
+    inside each part and added up over parts. Equal orders rank in some order; null orders come first.
+    """
+    cuts = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 1000).alias("c")).first()[0] or []
+    part = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    d = df.withColumn("__part", F.coalesce(F.when(F.col(order).isNull(), -1).otherwise(part), F.lit(-1)))
+    sizes = d.groupBy("__part").agg(F.count("*").alias("n"))
+    sizes = sizes.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # parts rows
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(order))
+    return d.withColumn("__in", inside).join(F.broadcast(sizes), "__part").withColumn("rank", F.col("__in") + F.col("__before")).drop("__part", "__in", "__before")
+
+
 def top_percent(df: DataFrame, index: str, percent: float) -> DataFrame:
     """The first max(1, floor(n * percent / 100)) rows by index."""
     if not 0 < percent <= 100:
         raise ValueError("percent must be above 0 and at most 100")
     n = df.count()
-    return df.orderBy(index).limit(max(1, int(n * percent / 100)))
+    return ranked(df, index).filter(F.col("rank") <= max(1, int(n * percent / 100))).drop("rank")
+
+
+def rows_between(df: DataFrame, index: str, start: int = 0, limit: int = 0) -> DataFrame:
+    """Rows by index without the first start, limit of them at most; 0: all."""
+    if start < 0 or limit < 0:
+        raise ValueError("start and limit must not be negative")
+    r = ranked(df, index).filter(F.col("rank") > start)
+    return (r.filter(F.col("rank") <= start + limit) if limit else r).drop("rank")

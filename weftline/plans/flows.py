@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fill_template, json_object_slice
-from ..functions.values import coerce, explode_object
+from ..functions.values import as_text, coerce, explode_object
 from ..operators import dedup, joins, retrieval, scoring
 from ..sources.providers import embed, generate
 
@@ -35,7 +35,7 @@ def extract(rows: DataFrame, interfaces: DataFrame, generator: Callable, done: D
     got = explode_object(r, "json", ["row_idx"])
     wanted = r.select("row_idx", F.explode("fields").alias("f")).select("row_idx", F.col("f.name").alias("key"), F.col("f.schema").alias("schema"))
     cast = wanted.join(got, ["row_idx", "key"], "left").withColumn("v", coerce(F.col("value"), F.col("schema")))
-    shown = F.when(F.col("v.kind") == "num", F.col("v.num").cast("string")).when(F.col("v.kind") == "str", F.to_json(F.array("v.str"))).otherwise(F.lit("null"))
+    shown = F.when(F.col("v.kind") == "num", F.when(F.col("v.form") == "bool", F.lower(as_text(F.col("v")))).otherwise(as_text(F.col("v")))).when(F.col("v.kind") == "str", F.to_json(F.array("v.str"))).otherwise(F.lit("null"))
     item = F.concat(F.to_json(F.array("key")), F.lit(":"), shown)
     flat = F.regexp_replace(item, r'^\["(.*?)"\]:', '"$1":')
     flat = F.regexp_replace(flat, r':\["(.*)"\]$', ':"$1"')

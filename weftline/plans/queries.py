@@ -36,8 +36,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _hits(spark, sf_dir, k):
     e = read(spark, sf_dir, "embeddings")
     q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"), F.col("label").alias("query_label"))
-    hits = retrieval.knn(q, e, k + 1).filter("query_id <> vec_id")
-    return hits.withColumn("rank", F.when(F.lit(True), F.col("rank") - 1)), q, e
+    return retrieval.knn(q, e, k, own=False), q, e
 
 
 HITS = """
@@ -149,27 +148,24 @@ def json_extract_fenced(spark, sf_dir):
     return e.select("event_id", F.get_json_object(j, "$.k").cast("long").alias("k"), F.array_join(F.array_sort(F.json_object_keys(j)), ",").alias("keys"))
 
 
-@query("""WITH p AS (SELECT p_partkey, 'dtmi:' || CASE WHEN p_partkey % 7 = 0 THEN 'one' ELSE lower(p_brand) || ':' || p_partkey || '-' || p_size || ';1' END AS id, p_name || '  --' || p_brand AS n FROM part)
-SELECT p_partkey, regexp_extract(id, '^dtmi:([^:;]+):([^:;]+);(\\d+)$', 2) AS component, CASE WHEN len(string_split(id, ':')) >= 3 THEN string_split(id, ':')[2] ELSE '' END AS grp,
+@query("""WITH p AS (SELECT p_partkey, 'dtmi:' || CASE WHEN p_partkey % 7 = 0 THEN 'one' ELSE lower(p_brand) || ':' || p_partkey || '-' || p_size || CASE WHEN p_partkey % 3 = 0 THEN ':unit' ELSE '' END || ';1' END AS id, p_name || '  --' || p_brand AS n FROM part)
+SELECT p_partkey, regexp_extract(id, '^dtmi:([^:;]+):([^;]+);[0-9]+$', 2) AS component, CASE WHEN len(string_split(id, ':')) >= 3 THEN string_split(id, ':')[2] ELSE '' END AS grp,
   regexp_replace(substr(regexp_replace(regexp_replace(regexp_replace(n, '[^0-9A-Za-z_]', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 60), '^$', 'subsystem') AS safe FROM p""".replace("\\\\d", "\\d"))
 def dtmi_parse(spark, sf_dir):
     p = read(spark, sf_dir, "part")
-    ident = F.concat(F.lit("dtmi:"), F.when(F.col("p_partkey") % 7 == 0, "one").otherwise(F.concat(F.lower("p_brand"), F.lit(":"), "p_partkey", F.lit("-"), "p_size", F.lit(";1"))))
+    ident = F.concat(F.lit("dtmi:"), F.when(F.col("p_partkey") % 7 == 0, "one").otherwise(F.concat(F.lower("p_brand"), F.lit(":"), "p_partkey", F.lit("-"), "p_size", F.when(F.col("p_partkey") % 3 == 0, ":unit").otherwise(""), F.lit(";1"))))
     return p.select("p_partkey", T.dtmi_component(ident).alias("component"), T.dtmi_group(ident).alias("grp"), T.safe_name(F.concat("p_name", F.lit("  --"), "p_brand")).alias("safe"))
 
 
 @query("""
-WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS i FROM lineitem WHERE l_orderkey % 50 = 0
-), l AS (SELECT l_orderkey AS o, i, p_brand AS b, row_number() OVER (PARTITION BY l_orderkey, p_brand ORDER BY i) AS r FROM n JOIN part ON l_partkey = p_partkey)
-SELECT o AS query_id, count(*) AS parts, string_agg(regexp_replace(b, '[^0-9A-Za-z_]', '_', 'g') || CASE WHEN r > 1 THEN '_' || i ELSE '' END || '_properties_and_telemetries', ',' ORDER BY i) AS keys FROM l GROUP BY o""")
+WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS i FROM lineitem
+), l AS MATERIALIZED (SELECT l_orderkey AS o, i, regexp_replace(p_brand, '[^0-9A-Za-z_]', '_', 'g') AS b FROM n JOIN part ON l_partkey = p_partkey
+), k AS (
+  SELECT o, i, [b || '_properties_and_telemetries'] AS keys FROM l WHERE i = 1
+  UNION ALL SELECT l.o, l.i, list_append(k.keys, CASE WHEN list_contains(k.keys, l.b || '_properties_and_telemetries') THEN l.b || '_' || l.i ELSE l.b END || '_properties_and_telemetries') FROM k JOIN l ON l.o = k.o AND l.i = k.i + 1
+)
+SELECT o AS query_id, max(i) AS parts, array_to_string(arg_max(keys, i), ',') AS keys FROM k GROUP BY o""")
 def compose_manifest(spark, sf_dir):
-    """Of the orders its SQL names; compose_manifest_all covers every order."""
-    return _manifests(spark, sf_dir, read(spark, sf_dir, "lineitem").filter("l_orderkey % 50 = 0"))
-
-
-@query()
-def compose_manifest_all(spark, sf_dir):
-    """compose_manifest over all of lineitem."""
     return _manifests(spark, sf_dir, read(spark, sf_dir, "lineitem"))
 
 
@@ -235,16 +231,25 @@ def best_attempt(spark, sf_dir):
     return scoring.best_attempt(e)
 
 
+def _said(i, k, kind):
+    """A completion on a row of events, as SQL text: some without a fence, some with values of another kind, some with other keys."""
+    return f"CASE WHEN {i} % 6 = 0 THEN concat('{{\"k\":', {k}, '}}') ELSE concat('ok ```json\n{{\"k\":', CASE WHEN {i} % 6 = 1 THEN concat('\"', {k}, '\"') WHEN {i} % 6 = 4 THEN '-1' ELSE {k} END, CASE WHEN {i} % 6 IN (2, 5) THEN concat(',\"x\":', {i} % 3) ELSE '' END, CASE WHEN {i} % 4 = 1 THEN concat(',\"t\":\"', {kind}, '\"') ELSE '' END, '}}\n```') END"
+
+
 @query("""
-WITH e AS (SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events)
-SELECT event_id, round(CASE WHEN event_id % 6 = 0 THEN -1.0 WHEN event_id % 6 = 1 THEN 0.8 WHEN event_id % 6 = 2 THEN 0.0 WHEN event_id % 6 = 3 THEN -1.6 WHEN event_id % 6 = 4 THEN 0.0 ELSE 0.4 END::DOUBLE, 6) AS reward FROM e""")
+WITH e AS (SELECT event_id AS i, json_extract_string(props, '$.k') AS k, event_type AS t FROM events
+), s AS (SELECT i, concat('{"k":', k, ',"t":"', t, '"', CASE WHEN i % 2 = 0 THEN ',"x":1' ELSE '' END, '}')::JSON AS g, nullif(regexp_extract(""" + _said("i", "k", "t").replace("\n", "' || chr(10) || '") + """, '```json[[:space:]]*([{].*?[}])[[:space:]]*```', 1, 's'), '')::JSON AS p FROM e
+), pk AS (SELECT i, unnest(json_keys(p)) AS key FROM s WHERE p IS NOT NULL), gk AS (SELECT i, unnest(json_keys(g)) AS key FROM s
+), j AS (SELECT coalesce(pk.i, gk.i) AS i, pk.key AS a, gk.key AS b FROM pk FULL JOIN gk ON pk.i = gk.i AND pk.key = gk.key
+), v AS (SELECT j.i, a, b, json_extract(p, '$.' || a) AS x, json_extract(g, '$.' || b) AS y FROM j JOIN s ON s.i = j.i
+), c AS (SELECT i, count(a) AS n, count(*) FILTER (a IS NULL OR b IS NULL OR x::VARCHAR <> y::VARCHAR) AS lost FROM v GROUP BY i)
+SELECT i AS event_id, round(CASE WHEN n > 0 THEN 0.8 * (n - lost) / n ELSE -1.0 END::DOUBLE, 6) AS reward FROM c""")
 def reward(spark, sf_dir):
-    e = read(spark, sf_dir, "events")
-    k, m = F.get_json_object("props", "$.k"), F.col("event_id") % 6
-    fence = lambda *p: F.concat(F.lit("ok ```json\n"), *p, F.lit("\n```"))
-    pred = F.when(m == 0, F.concat(F.lit('{"k":'), k, F.lit("}"))).when(m == 1, fence(F.lit('{"k":'), k, F.lit("}"))).when(m == 2, fence(F.lit('{"k":'), k, F.lit(',"x":1}'))).when(m == 3, fence(F.lit('{"x":1}'))).when(m == 4, fence(F.lit('{"k":-1}'))).otherwise(fence(F.lit('{"k":'), k, F.lit(',"b":3}')))
-    gold = F.when(m == 1, F.create_map(F.lit("k"), k)).when(m == 2, F.create_map(F.lit("k"), k, F.lit("c"), F.lit("4"))).when(m == 3, F.create_map(F.lit("k"), k, F.lit("b"), F.lit("2"))).when(m == 4, F.create_map(F.lit("k"), k)).otherwise(F.create_map(F.lit("k"), k, F.lit("b"), F.lit("2")))
-    return e.select("event_id", F.round(scoring.reward(scoring.fenced_map(pred), gold), 6).alias("reward"))
+    e = read(spark, sf_dir, "events").select(F.col("event_id").alias("row_idx"), F.get_json_object("props", "$.k").alias("k"), "event_type")
+    pred = e.select("row_idx", F.expr(_said("row_idx", "k", "event_type")).alias("completion"))
+    gold = e.select("row_idx", F.expr("""concat('{"k":', k, ',"t":"', event_type, '"', CASE WHEN row_idx % 2 = 0 THEN ',"x":1' ELSE '' END, '}')""").alias("gold"))
+    r = scoring.reward(pred, gold)
+    return r.select(F.col("row_idx").alias("event_id"), F.round("reward", 6).alias("reward"))
 
 
 @query("SELECT conv_id, count(*) AS turns, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS memory FROM conversations GROUP BY conv_id")
@@ -261,7 +266,7 @@ def greedy_dedup(spark, sf_dir):
 
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE (p_partkey + (p_partkey % 2) * 0.5)::DOUBLE END AS number, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_partkey::DOUBLE END AS whole,
-  printf('%02d:%02d', p_partkey // 60, p_partkey % 60) AS clock FROM part WHERE p_partkey < 3600""")
+  CASE WHEN p_partkey < 3600 THEN printf('%02d:%02d', p_partkey // 60, p_partkey % 60) ELSE printf('%02d:%02d:%02d', p_partkey // 3600, p_partkey // 60 % 60, p_partkey % 60) END AS clock FROM part""")
 def coerce_values(spark, sf_dir):
     i = F.col("p_partkey")
     p = read(spark, sf_dir, "part").select("p_partkey", F.when(i % 5 == 0, F.lit('{"v":"abc"}')).when(i % 2 == 1, F.concat(F.lit('{"v":" '), i, F.lit('.5"}'))).otherwise(F.concat(F.lit('{"v":'), i, F.lit("}"))).alias("j"))

@@ -80,6 +80,18 @@ def label_of(path):
     return F.coalesce(F.nullif(parent, F.lit("")), F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", ""))
 
 
+def dataset(spark: SparkSession, path: str) -> DataFrame:
+    """A whole dataset as one table: JSON, JSON lines or Parquet, by the ending of path."""
+    kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
+    if kind == "jsonl":
+        return spark.read.json(path)
+    if kind == "json":
+        return spark.read.option("multiLine", True).json(path)
+    if kind == "parquet":
+        return spark.read.parquet(path)
+    raise ValueError(f"no dataset format: {path}")
+
+
 def vectors(spark: SparkSession, path: str, expected: int | None = None) -> tuple[DataFrame, str | None]:
     """A vector table (vec_id, embedding, ...) and a warning if it doesn't hold expected rows."""
     df = spark.read.parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import duration
+from ..operators.scoring import rows_between
 
 
 def append_json(df: DataFrame, path: str) -> None:
@@ -28,9 +29,13 @@ def truncate(df: DataFrame, path: str) -> None:
 
 
 def stats_text(avg: Column, low: Column, high: Column) -> Column:
-    """Three key=value lines in milliseconds, a blank line, three lines for readers."""
-    names = (("avg", avg), ("min", low), ("max", high))
-    return F.concat_ws("\n", *(F.concat(F.lit(f"{n}_per_sample="), F.format_string("%.6f", c), F.lit("ms")) for n, c in names), F.lit(""), *(F.concat(F.lit(f"{n}_human="), duration(c / 1000)) for n, c in names))
+    """Three key=value lines, a blank line, three lines for readers; null values are left blank, or - for readers."""
+    number = lambda n, c: F.concat(F.lit(f"{n}_seconds_per_sample="), F.when(c.isNull(), "").otherwise(F.format_string("%.6f", c)))
+    said = lambda n, c: F.concat(F.lit(f"{n}_human="), F.when(c.isNull(), "-").otherwise(duration(c)))
+    # fixed value: the unit of the last line
+    mean = F.concat(F.lit("avg_human="), F.when(avg > 0, F.concat(F.format_string("%.2f", avg), F.lit("s/样本"))).otherwise("-"))
+    lines = [number("min", low), number("max", high), number("avg", avg), F.lit(""), said("min", low), said("max", high), mean]
+    return F.concat_ws("\n", *lines)
 
 
 def padded_table(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -39,3 +44,8 @@ def padded_table(df: DataFrame, columns: list[str]) -> DataFrame:
     cells = df.select(*(F.format_string("%.4f", F.col(c)).alias(c) if kinds[c] in ("double", "float") else F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns))
     wide = {c: F.greatest(F.lit(len(c)), F.max(F.length(c)).over(Window.partitionBy())) for c in columns}
     return cells.select(F.concat_ws("  ", *(F.rpad(c, w, F.lit(" ")) for c, w in wide.items())).alias("line"))
+
+
+def write_limited(df: DataFrame, path: str, order: str, most: int = 0) -> None:
+    """Appends the first most rows by order as JSON lines; 0: all."""
+    append_json(rows_between(df, order, 0, most), path)

@@ -64,6 +64,21 @@ def fold_stream(events: DataFrame) -> DataFrame:
     return events.filter("step is not null").groupBy("run_id", "step").applyInPandasWithState(update, "run_id string, step int, text string, chunks int", "seqs array<bigint>, chunks array<string>", "update", "NoTimeout")
 
 
+def fan_out(events: DataFrame, readers: int) -> DataFrame:
+    """events with reader, from 0: of the readers that share a run's queue each event goes to one, the same in every run."""
+    return events.withColumn("reader", F.pmod(F.xxhash64("run_id", "seq"), F.lit(readers)).cast("int"))
+
+
+def terminal(events: DataFrame) -> DataFrame:
+    """Per run: whether it ended with an error, the message of its first fatal event, and the seq of its one done event.
+
+    A fatal event ends a run as well as done; what comes after the first of either counts no more.
+    """
+    e = events.groupBy("run_id").agg(F.min(F.when(F.col("type") == "fatal", F.col("seq"))).alias("fatal"), F.min(F.when(F.col("type") == "done", F.col("seq"))).alias("done"), F.min_by("message", F.when(F.col("type") == "fatal", F.col("seq"))).alias("message"))
+    failed = F.col("fatal").isNotNull() & (F.col("done").isNull() | (F.col("fatal") < F.col("done")))
+    return e.select("run_id", failed.alias("failed"), F.when(failed, F.col("message")).alias("message"), F.least("fatal", "done").alias("ended_at"))
+
+
 def sse_frames(events: DataFrame) -> DataFrame:
     """Server-sent event frames in order of run and seq: event and data lines and a blank line."""
     data = F.to_json(F.struct("step", "chunk", "output", "status", "message"))
