@@ -1,5 +1,6 @@
 """Operators against brute force, exact round trips and their SQL."""
 
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -265,6 +266,13 @@ def test_main_text_is_not_dropped_by_a_name_alone(page):
     assert html_text.main_text(page) == ARTICLE_TEXT
 
 
+@pytest.mark.parametrize("page", ["<div>" * 50000 + "words, " * 20 + "</div>" * 50000, "<b>" * 20000 + "<div>x, y</div>" * 20000, "<ul>" + "<div>" * 20000 + "<li>one, two" * 20000, "<div>" * 20000 + "</i>" * 20000, "<div><header>x</header>" * 20000])
+def test_deep_pages_take_linear_time(page):
+    begin = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - begin < 5  # under a second here; climbing ancestors took minutes
+
+
 def test_html_table(spark):
     rows = html_text.extract_main_text(spark.createDataFrame([(1, None, None, "x"), (1, "u", "<p>é &amp; b", "x")], "page_id long, url string, html string, text string")).collect()
     assert sorted((r.url or "", r.text, r.n_chars) for r in rows) == [("", "", 0), ("u", "é & b", 5)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,9 +41,9 @@ _raw_end = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
 
 class Node:
-    """An element with its children in order: nodes, texts and None for a line break."""
+    """An element with its children in order: nodes, texts and None for a line break. What depends on all ancestors is set when it opens."""
 
-    __slots__ = ("name", "children", "parent", "likely", "unlikely", "dropped", "score")
+    __slots__ = ("name", "children", "parent", "likely", "unlikely", "dropped", "score", "inside", "apart", "block", "size", "linked", "free", "kept")
 
     def __init__(self, name: str, parent: Node | None, attrs: str = "") -> None:
         self.name, self.parent, self.children = name, parent, []
@@ -64,11 +65,34 @@ class Node:
                     if name not in ("html", "body", "article", "main"):
                         self.unlikely |= words & UNLIKELY
                     self.likely += bool(words & LIKELY)
+        #: In an article, in no element of an unlikely name, and the innermost block around it.
+        self.inside = name in ("article", "main") or (parent is not None and parent.inside)
+        self.apart = (not self.unlikely or self.likely > 0) and (parent is None or parent.apart)
+        self.block: Node = self if parent is None or name in BLOCK else parent.block
+        #: Characters under it, those in links, those outside of links, and whether it is in what is kept; see _measure().
+        self.size = self.linked = self.free = 0
+        self.kept = False
 
 
-def parse(page: str) -> Node:
-    """A tree of the whole page; end tags that nothing opened are skipped, and what is left open ends with the page."""
+def parse(page: str) -> list[Node]:
+    """The elements of the whole page, parents before children, the root first; end tags that nothing opened are skipped, and what is left open ends with the page.
+
+    The open elements' depths are kept by name, so that no tag climbs its ancestors: linear in the page at any nesting.
+    """
     root = node = Node("#root", None)
+    nodes, path = [root], [root]
+    depths: dict[str, list[int]] = {}
+    walls: list[int] = []  # depths of the open blocks and table cells: the innermost one tells whether a p is open
+
+    def close(depth: int) -> None:
+        nonlocal node
+        while len(path) > depth:
+            gone = path.pop()
+            depths[gone.name].pop()
+            if gone.name in BLOCK or gone.name in ("td", "th"):
+                walls.pop()
+        node = path[-1]
+
     at = 0
     while m := _tag.search(page, at):
         if m.start() > at:
@@ -79,50 +103,53 @@ def parse(page: str) -> Node:
             continue
         name = name.lower()
         if m[1]:
-            up = node
-            while up is not root and up.name != name:
-                up = up.parent
-            if up is not root:
-                node = up.parent
+            if depths.get(name):
+                close(depths[name][-1])
             elif name in BLOCK:
-                node.children.append(Node("p", node))  # a stray end tag still ends the paragraph
+                nodes.append(Node("p", node))  # a stray end tag still ends the paragraph
+                node.children.append(nodes[-1])
             continue
-        if name in CLOSES_P:
-            up = node
-            while up is not root and up.name != "p" and up.name not in BLOCK and up.name not in ("td", "th"):
-                up = up.parent
-            if up.name == "p":
-                node = up.parent
+        if name in CLOSES_P and walls and path[walls[-1]].name == "p":
+            close(walls[-1])
         if name in IMPLIED:
             ends, stop = IMPLIED[name]
-            up, last = node, None
-            while up is not root and up.name not in stop:
-                if up.name in ends:
-                    last = up
-                up = up.parent
-            if last is not None:
-                node = last.parent
+            floor = max((depths[x][-1] for x in stop if depths.get(x)), default=0)
+            found = [d[i] for d in map(depths.get, ends) if d and (i := bisect_right(d, floor)) < len(d)]
+            if found:
+                close(min(found))
         if name == "br":
             node.children.append(None)
             continue
         child = Node(name, node, m[3])
+        nodes.append(child)
         node.children.append(child)
         if name in RAW:
             end = _raw_end[name].search(page, at)
             at = len(page) if end is None else end.start()
         elif name not in VOID:
+            depths.setdefault(name, []).append(len(path))
+            if name in BLOCK or name in ("td", "th"):
+                walls.append(len(path))
+            path.append(child)
             node = child
     if at < len(page):
         node.children.append(page[at:])
-    return root
+    return nodes
 
 
-def _inside_article(node: Node) -> bool:
-    while node is not None:
-        if node.name in ("article", "main"):
-            return True
-        node = node.parent
-    return False
+def _measure(nodes: list[Node], blocks: list[tuple[str, Node, int]]) -> None:
+    """Sets what text, links and unlinked text the blocks put under each element, from the leaves up."""
+    for x in nodes:
+        x.size = x.linked = x.free = 0
+    for text, node, linked in blocks:
+        node.size += len(text)
+        node.linked += linked
+        node.free += len(text) - min(linked, len(text))
+    for x in reversed(nodes):
+        if x.parent is not None:
+            x.parent.size += x.size
+            x.parent.linked += x.linked
+            x.parent.free += x.free
 
 
 def _blocks(top: Node, out: list[tuple[str, Node, int]]) -> None:
@@ -163,7 +190,7 @@ def _blocks(top: Node, out: list[tuple[str, Node, int]]) -> None:
                 if x.name in BLOCK:
                     flush()
                 continue
-            if x.name == "header" and not _inside_article(x):
+            if x.name == "header" and not x.inside:
                 flush()
                 continue
             if x.name in BLOCK:
@@ -175,26 +202,19 @@ def _blocks(top: Node, out: list[tuple[str, Node, int]]) -> None:
     flush()
 
 
-def _settle(root: Node, blocks: list[tuple[str, Node, int]]) -> bool:
+def _settle(nodes: list[Node], blocks: list[tuple[str, Node, int]]) -> bool:
     """Drops elements of an unlikely name, but those of a likely name too and those that hold most of the unlinked text. Whether any was dropped.
 
     What names other people's texts is spared for its text only if no other text stands outside unlikely elements.
     """
-    free: dict[int, int] = {}
-    total, outside = 0, False
-    for text, node, linked in blocks:
-        total += len(text) - min(linked, len(text))
-        up, apart = node, True
-        while up is not None:
-            free[id(up)] = free.get(id(up), 0) + len(text) - min(linked, len(text))
-            apart &= not up.unlikely or up.likely > 0
-            up = up.parent
-        outside |= apart and 2 * linked < len(text) and (node.name not in HEADINGS or _inside_article(node))
-    some, stack = False, [root]
+    _measure(nodes, blocks)
+    total = nodes[0].free
+    outside = any(node.apart and 2 * linked < len(text) and (node.name not in HEADINGS or node.inside) for text, node, linked in blocks)
+    some, stack = False, [nodes[0]]
     while stack:
         node = stack.pop()
         if node.unlikely and not node.dropped:
-            most = 2 * free.get(id(node), 0) > total and not (outside and node.unlikely & OTHERS)
+            most = 2 * node.free > total and not (outside and node.unlikely & OTHERS)
             node.dropped = not (node.likely or most)
             some |= node.dropped
             node.likely = 0
@@ -207,25 +227,18 @@ def main_text(page: str) -> str:
     """The main text of one page: blocks joined by blank lines; empty if there is none."""
     if not page:
         return ""
-    root = parse(page)
+    nodes = parse(page)
     blocks: list[tuple[str, Node, int]] = []
-    _blocks(root, blocks)
-    if _settle(root, blocks):
+    _blocks(nodes[0], blocks)
+    if _settle(nodes, blocks):
         blocks = []
-        _blocks(root, blocks)
+        _blocks(nodes[0], blocks)
     if not blocks:
         return ""
-    scored: dict[int, Node] = {}
-    size: dict[int, list[int]] = {}
+    _measure(nodes, blocks)
+    scored: list[Node] = []
     for text, node, linked in blocks:
-        up = node
-        while up is not None:
-            s = size.setdefault(id(up), [0, 0])
-            s[0] += len(text)
-            s[1] += linked
-            up = up.parent
-        while node.name not in BLOCK and node.parent is not None:
-            node = node.parent
+        node = node.block
         if len(text) < 25 or node.name in HEADINGS:
             continue
         points = (1 + text.count(",") + text.count("、") + min(len(text) / 100, 3)) * (1 - min(1, linked / len(text)))
@@ -234,36 +247,32 @@ def main_text(page: str) -> str:
         while up is not None and up.name not in ("html", "#root") and level < 5:
             if up.score is None:
                 up.score = {"article": 25.0, "main": 20.0, "body": -5.0, "ul": -3.0, "ol": -3.0}.get(up.name, 0.0) + 10 * min(up.likely, 2)
-                scored[id(up)] = up
+                scored.append(up)
             up.score += points / (1, 2, 6, 9, 12)[level]
             up, level = up.parent, level + 1
     if not scored:
-        inside = [t for t, n, _ in blocks if _inside_article(n)]
+        inside = [t for t, n, _ in blocks if n.inside]
         return "\n\n".join(inside or [t for t, n, k in blocks if 2 * k < len(t)])
-    final = {k: n.score * (1 - min(1, size[k][1] / max(1, size[k][0]))) for k, n in scored.items() if k in size}
-    best = scored[max(final, key=final.__getitem__)]
+
+    def final(x: Node) -> float:
+        return 0 if x.score is None else x.score * (1 - min(1, x.linked / max(1, x.size)))
+
+    best = max(scored, key=final)
     up = best.parent
     while up is not None:  # the article around the best part holds its headings too
         if up.name in ("article", "main"):
             best = up
             break
         up = up.parent
-    limit = max(10, 0.2 * final.get(id(best), 0))
-    keep = {id(best)}
+    limit = max(10, 0.2 * final(best))
+    best.kept = True
     if best.parent is not None:
         for x in best.parent.children:
             if isinstance(x, Node) and x is not best and not x.dropped:
-                s = size.get(id(x), (0, 0))
-                if final.get(id(x), 0) >= limit or (x.name == "p" and s[0] > 80 and s[1] < 0.25 * s[0]) or (x.name in HEADINGS and s[0]):
-                    keep.add(id(x))
-    out = []
-    for text, node, _ in blocks:
-        up = node
-        while up is not None and id(up) not in keep:
-            up = up.parent
-        if up is not None:
-            out.append(text)
-    return "\n\n".join(out)
+                x.kept = final(x) >= limit or (x.name == "p" and x.size > 80 and x.linked < 0.25 * x.size) or (x.name in HEADINGS and x.size > 0)
+    for x in nodes:
+        x.kept |= x.parent is not None and x.parent.kept
+    return "\n\n".join(text for text, node, _ in blocks if node.kept)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
