@@ -99,7 +99,7 @@ def cast_generated(v: Column, schema: Column) -> Column:
     known = F.lower(F.coalesce(schema, F.lit(""))).isin("double", "float", "integer", "long", "int", "boolean", "bool", "string")
     lost = (c["kind"] == "null") | c["kind"].isNull()
     flag = F.lower(schema).isin("boolean", "bool") & (v["kind"] == "str")
-    return F.when(~known, v).when(flag & lost, _value("num", (F.length(v["str"]) > 0).cast("double"))).when(lost, _value("str", text=as_text(v))).otherwise(c)
+    return F.when(~known, v).when(flag & lost, _value("num", (F.length(F.trim(v["str"])) > 0).cast("double"), form="bool")).when(lost, _value("str", text=as_text(v))).otherwise(c)
 
 
 def explode_object(df: DataFrame, json: str, keep: list[str], prefix: str = "") -> DataFrame:

@@ -95,11 +95,11 @@ def build_instance(identifier: Column, docker: Column, generated: Column, teleme
     """interface, image, generated properties (map) and 0 for each telemetry name; of equal keys the later counts."""
     zeros = F.map_from_entries(F.transform(F.array_distinct(telemetry), lambda n: F.struct(n, F.lit("0"))))
     head = F.create_map(F.lit("interface"), identifier, F.lit("dockerImage"), docker)
-    parts = [head, generated, zeros]
-    out = parts[0]
-    for p in parts[1:]:
-        out = F.map_concat(F.map_filter(out, lambda k, _, p=p: ~F.array_contains(F.map_keys(p), k)), p)
-    return out
+
+    def joined(a: Column, b: Column) -> Column:
+        return F.map_concat(F.map_filter(a, lambda k, _: ~F.array_contains(F.map_keys(b), k)), b)
+
+    return joined(joined(head, generated), zeros)
 
 
 #: Names that a composed interface has of itself.
