@@ -227,6 +227,18 @@ def test_media_copies_are_found_among_many_others(spark):
     assert sum(comp[10_000 + i] == comp[i] for i in range(1460, 1500)) >= 39 and sum(comp[i] != i for i in range(1500)) <= 3
 
 
+def test_media_empty_table_and_a_large_group(spark):
+    schema = "image_id long, width int, height int, pixels binary, digest string, mark long"
+    assert media.image_copies(spark.createDataFrame([], schema)).collect() == []
+    rng = np.random.default_rng(10)
+    a, b = (media._mosaic(rng.normal(0, 0.125, 64)) for _ in range(2))
+    rows = [(i, 72, 72, np.clip(a * (0.7 + i / 400) + i % 5, 0, 255).astype(np.uint8).tobytes(), "x", 1) for i in range(60)]
+    rows += [(100, 72, 72, b.tobytes(), None, None), (None, 72, 72, b.tobytes(), None, None), (101, 72, 72, b.tobytes(), None, None)]
+    got = media.image_copies(spark.createDataFrame(rows, schema)).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got if r.image_id is not None and r.image_id < 60} == {0}
+    assert {r.image_id: r.component_id for r in got if r.image_id is None or r.image_id >= 100} == {100: 100, 101: 100, None: None}
+
+
 # 4 html
 
 
@@ -274,6 +286,7 @@ def test_deep_pages_take_linear_time(page):
 
 
 def test_html_table(spark):
+    assert html_text.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string, text string")).collect() == []
     rows = html_text.extract_main_text(spark.createDataFrame([(1, None, None, "x"), (1, "u", "<p>é &amp; b", "x")], "page_id long, url string, html string, text string")).collect()
     assert sorted((r.url or "", r.text, r.n_chars) for r in rows) == [("", "", 0), ("u", "é & b", 5)]
 

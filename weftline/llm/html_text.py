@@ -279,7 +279,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages (page_id, url, html); the whole page is read.
 
     Null or empty html, or a page without main text: empty text and 0. Rows stay as they are, repeats included; null
-    ids and urls pass through; other columns are left out.
+    ids and urls pass through; an empty table gives no rows; other columns are left out.
     """
 
     def make():
