@@ -165,6 +165,23 @@ def shingle_set(text: bytes, k: int) -> np.ndarray:
     return np.unique(acc)
 
 
+#: Bytes of a text that are split into terms at a time.
+TERM_BYTES = 1 << 20
+
+
+def term_lists(text: bytes, fold: bytes) -> Iterator[list[bytes]]:
+    """The terms of a text, in lists: fold gives each byte's own, a space for what stands between terms. A long text gives several lists, cut between terms."""
+    text = text.translate(fold)
+    at = 0
+    while len(text) - at > TERM_BYTES:
+        to = text.find(b" ", at + TERM_BYTES)
+        if to < 0:
+            break
+        yield text[at:to].split()
+        at = to
+    yield text[at:].split()
+
+
 #: Rows a function gets at a time, and bytes, if no single row has more: its lists and arrays stay small beside the batch.
 SLICE_ROWS, SLICE_BYTES = 1024, 8 << 20
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, licenses, media, mixing, near_dedup, nearest, packing, token_counts, toxicity, warc
+from . import divergence, fingerprints, html_text, licenses, media, mixing, near_dedup, nearest, packing, ranking, token_counts, toxicity, warc
 from .common import Shelf, table
 
 
@@ -148,3 +148,62 @@ def op3_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_media_copies"] = op3_media_copies
+
+
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {f.__name__: f for f in (op11_source_divergence, op12_ranked_search, op13_fingerprints)}
+
+ORACLE_SQL["op11_source_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), t AS (SELECT doc, lang, source, term, count(*)::HUGEINT AS n FROM (SELECT doc, lang, source, unnest(w) AS term FROM d) GROUP BY ALL
+), kept AS MATERIALIZED (SELECT lang, term, sum(n)::HUGEINT AS n FROM t GROUP BY lang, term HAVING count(DISTINCT doc) >= 30
+), l AS (SELECT lang, count(*) AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang
+), g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d
+), c AS MATERIALIZED (SELECT t.lang, t.source, t.term, sum(t.n)::HUGEINT AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL
+), s AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM c GROUP BY ALL
+), p AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (coalesce(s.total, 0) + 5 * l.v) AS p, 1 + 1000000000::HUGEINT * (k.n + 5) // (l.total + 5 * l.v) AS q
+  FROM g JOIN kept k USING (lang) JOIN l USING (lang) LEFT JOIN s ON s.lang = g.lang AND s.source = g.source
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(x.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source AS a, y.source AS b, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) x
+    ON x.lang = a.lang AND x.a = a.source AND x.b = b.source
+), everything AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pair
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q
+), r AS (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item COLLATE "binary"))::INT AS rank FROM everything)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 50
+"""
+
+ORACLE_SQL["op12_ranked_search"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), n AS MATERIALIZED (SELECT doc, doc_id, len(w)::BIGINT AS n FROM d WHERE len(w) > 0
+), a AS MATERIALIZED (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM n
+), t AS MATERIALIZED (SELECT doc, term, count(*)::BIGINT AS tf FROM (SELECT doc, unnest(w) AS term FROM d) GROUP BY ALL
+), i AS MATERIALIZED (
+  SELECT item_id, term, count(*)::BIGINT AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL
+), w AS MATERIALIZED (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM t, a WHERE term IN (SELECT term FROM i) GROUP BY term, docs
+), m AS (SELECT doc, doc_id, 100 - 25 + (25 * n * docs) // terms AS m FROM n, a
+), s AS (
+  SELECT item_id, doc_id, doc, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM i JOIN w USING (term) JOIN t USING (term) JOIN m USING (doc) GROUP BY ALL
+), r AS (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, doc))::INT AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
+"""
