@@ -149,19 +149,6 @@ def test_knn_equals_brute_force(spark):
     assert got == {(i, k + 1): j for i in range(7) for k, j in enumerate(np.argsort(-s[i], kind="stable")[:3])}
 
 
-EVENTS = [("r", 1, "assistant_chunk", 0, "ished", None, None, None), ("r", 0, "assistant_chunk", 0, "Fin", None, None, None), ("r", 2, "assistant_chunk", 1, "a", None, None, None), ("r", 3, "step_status", 1, None, None, "stopped", None)]
-
-
-def test_fold_and_stream_agree(spark, tmp_path):
-    e = spark.createDataFrame(EVENTS, fold.EVENTS)
-    got = {r.step: (r.text, r.state, r.output) for r in fold.fold_chunks(e).collect()}
-    assert got == {0: ("Finished", "finished", "✅ Finished"), 1: ("a", "error", None)}
-    e.write.json(str(tmp_path / "in"))
-    q = fold.fold_stream(fold.event_source(spark, str(tmp_path / "in"))).writeStream.outputMode("update").format("memory").queryName("folded").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert {r.step: r.text for r in spark.table("folded").collect()} == {k: v[0] for k, v in got.items()}
-
-
 def test_flows(spark):
     rows = spark.createDataFrame([(0, "x", "i"), (1, "y", "none")], "row_idx long, anchor string, interface string")
     faces = spark.createDataFrame([("i", 0, [("n", "integer"), ("digest", "string")])], "interface string, idx long, fields array<struct<name:string,schema:string>>")

@@ -1,11 +1,8 @@
-"""Agent event streams: chunks of a step folded in order, step states, memory; in batch and as a stateful stream."""
+"""Agent event streams: their source, memory, fan-out and endings. steps.py folds chunks and keeps step states."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EVENTS = "run_id string, seq bigint, type string, step int, chunk string, output string, status string, message string"
@@ -17,53 +14,12 @@ def event_source(spark: SparkSession, folder: str, stream: bool = True) -> DataF
     return reader.schema(EVENTS).option("mode", "DROPMALFORMED").json(folder).filter("run_id is not null")
 
 
-def fold_chunks(events: DataFrame) -> DataFrame:
-    """Per run and step: the chunks in order of seq as one text, and the step's outcome."""
-    e = events.groupBy("run_id", "step").agg(
-        F.array_sort(F.collect_list(F.when((F.col("type") == "assistant_chunk") & F.col("chunk").isNotNull(), F.struct("seq", "chunk")))).alias("c"), F.max_by("status", F.when(F.col("status").isNotNull(), F.col("seq"))).alias("status"), F.max_by("output", F.when(F.col("output").isNotNull(), F.col("seq"))).alias("output")
-    )
-    text = F.array_join(F.transform("c", lambda x: x["chunk"]), "")
-    return e.select("run_id", "step", text.alias("text"), step_state(text, F.col("status")).alias("state"), F.when(is_finished(text), "✅ Finished").otherwise(F.col("output")).alias("output"))
-
-
-def is_finished(text: Column) -> Column:
-    return F.trim(text) == "Finished"
-
-
-def step_state(text: Column, status: Column) -> Column:
-    """finished for the final text, else the last status; a stopped step is recorded as an error."""
-    return F.when(is_finished(text), "finished").when(status == "stopped", "error").otherwise(F.coalesce(status, F.lit("running")))
-
-
 def memory(turns: DataFrame, run: str = "conv_id", order: str = "turn") -> DataFrame:
     """Per run: what was said, role and content in order."""
     m = turns.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "role", F.col("text").alias("content")))).alias("m"))
     return m.select(run, F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("memory"))
 
 
-def fold_stream(events: DataFrame) -> DataFrame:
-    """The streaming fold: each trigger gives the text so far of the steps that got chunks.
-
-    State is the chunks by seq that came so far, so that late or repeated ones take their place; a final event ends a step's state.
-    """
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        seqs, chunks = state.get if state.exists else ([], [])
-        held, final = dict(zip(seqs, chunks, strict=True)), False
-        for b in batches:
-            some = b[(b["type"] == "assistant_chunk") & b["chunk"].notna()]
-            held.update(zip(some["seq"].tolist(), some["chunk"].tolist(), strict=True))
-            final |= bool(b["type"].isin(["done", "fatal"]).any())
-        order = sorted(held)
-        if final:
-            state.remove()
-        else:
-            state.update((order, [held[i] for i in order]))
-        yield pd.DataFrame({"run_id": [key[0]], "step": [key[1]], "text": ["".join(held[i] for i in order)], "chunks": [len(order)]})
-
-    return events.filter("step is not null").groupBy("run_id", "step").applyInPandasWithState(update, "run_id string, step int, text string, chunks int", "seqs array<bigint>, chunks array<string>", "update", "NoTimeout")
-
-
 def fan_out(events: DataFrame, readers: int) -> DataFrame:
     """events with reader, from 0: of the readers that share a run's queue each event goes to one, the same in every run."""
     return events.withColumn("reader", F.pmod(F.xxhash64("run_id", "seq"), F.lit(readers)).cast("int"))
@@ -77,9 +33,3 @@ def terminal(events: DataFrame) -> DataFrame:
     e = events.groupBy("run_id").agg(F.min(F.when(F.col("type") == "fatal", F.col("seq"))).alias("fatal"), F.min(F.when(F.col("type") == "done", F.col("seq"))).alias("done"), F.min_by("message", F.when(F.col("type") == "fatal", F.col("seq"))).alias("message"))
     failed = F.col("fatal").isNotNull() & (F.col("done").isNull() | (F.col("fatal") < F.col("done")))
     return e.select("run_id", failed.alias("failed"), F.when(failed, F.col("message")).alias("message"), F.least("fatal", "done").alias("ended_at"))
-
-
-def sse_frames(events: DataFrame) -> DataFrame:
-    """Server-sent event frames in order of run and seq: event and data lines and a blank line."""
-    data = F.to_json(F.struct("step", "chunk", "output", "status", "message"))
-    return events.select("run_id", "seq", F.concat(F.lit("event: "), F.col("type"), F.lit("\ndata: "), data, F.lit("\n\n")).alias("frame"))
