@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -67,3 +68,10 @@ def stub_embedder(width: int = 16) -> Callable[[list[str]], list[list[float]]]:
         return out
 
     return run
+
+
+def stub_lines(request: str, skip: int) -> Iterator[str]:
+    """A token stream's lines: the request's words as chunks, each after a blank and a bad line, and what says that the answer is done."""
+    words = request.split()
+    lines = [x for w in words for x in ("", "{bad", json.dumps({"message": {"content": w}}))]
+    return iter([*lines, json.dumps({"message": {"content": ""}, "done": True}), lines[-1] if lines else ""][skip:])

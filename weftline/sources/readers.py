@@ -2,29 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_json_object
 
 
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines with their place in their split, among all and among those that are not blank. A task reads its splits one after the other."""
+    split, places = None, (0, 0)
+    for b in batches:
+        path, start, some = b.column("path").to_numpy(zero_copy_only=False), b.column("start").to_numpy(), b.column("some").to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.ones(len(start), bool)
+        if len(new):
+            new[1:] = (start[1:] != start[:-1]) | (path[1:] != path[:-1])
+            new[0] = split != (path[0], start[0])
+        out = []
+        for before, each in zip(places, (np.ones(len(start), np.int64), some), strict=True):
+            # counted so far, less what had been counted where the split began
+            total = np.cumsum(each) - each + before
+            out.append(total - np.maximum.accumulate(np.where(new, total, 0)))
+        if len(new):
+            split, places = (path[-1], start[-1]), (int(out[0][-1]) + 1, int(out[1][-1] + some[-1]))
+        yield pa.record_batch([*(b.column(c) for c in ("path", "start", "value", "some")), pa.array(out[0]), pa.array(out[1])], ["path", "start", "value", "some", "place", "some_place"])
+
+
 def lines(spark: SparkSession, path: str, blank: bool = False) -> DataFrame:
-    """path, row_idx (from 0 in each file) and value of each line; blank lines are left out before numbering unless blank.
+    """path, row_idx, line_no and value of each line: row_idx counts from 0 in each file, blank lines left out unless blank, line_no is the line's own number, from 1.
 
-    Files are read whole, so that numbers are the files' own; the split is per file.
+    Lines end with a line feed, a carriage return or both. Files are read in splits, of which any number may be of one
+    file: lines are counted in each split, the counts are summed up over a file's splits, and a second pass adds a line's
+    place in its split. Lines don't move. If the splits of the two passes differ, as they can if the number of cores
+    changes in between, the query fails; then set spark.sql.files.minPartitionNum.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    parts = F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")
-    if not blank:
-        parts = F.filter(parts, lambda x: F.trim(F.regexp_replace(x, r"\s", " ")) != "")
-    return whole.select("path", F.posexplode(parts).alias("row_idx", "value")).withColumn("row_idx", F.col("row_idx").cast("long"))
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value")
+    raw = raw.withColumn("some", ~F.col("value").rlike(r"(?U)^\s*$"))
+    splits = raw.groupBy("path", "start").agg(F.count("*").alias("n"), F.count_if("some").alias("n_some"))
+    earlier = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("path", "start", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("n", "n_some")))
+    placed = raw.mapInArrow(_placed, "path string, start bigint, value string, some boolean, place bigint, some_place bigint").join(splits, ["path", "start"], "left")
+    known = lambda c: F.when(F.col(c).isNull(), F.raise_error(F.lit("the splits of a file have changed between two passes"))).otherwise(F.col(c))
+    kept = placed if blank else placed.filter("some")
+    row = known("n") + F.col("place") if blank else known("n_some") + F.col("some_place")
+    return kept.select("path", row.alias("row_idx"), (known("n") + F.col("place") + 1).alias("line_no"), "value")
 
 
 def jsonl_strict(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines as variants; a bad line stops the query and is named."""
-    bad = F.raise_error(F.concat(F.lit("bad JSON in line "), (F.col("row_idx") + 1).cast("string"), F.lit(" of "), F.col("path")))
+    bad = F.raise_error(F.concat(F.lit("bad JSON in line "), F.col("line_no").cast("string"), F.lit(" of "), F.col("path")))
     v = F.try_parse_json(F.trim("value"))
-    return lines(spark, path).select("path", "row_idx", F.when(v.isNull(), bad).otherwise(F.trim("value")).alias("raw")).withColumn("doc", F.parse_json("raw"))
+    return lines(spark, path).select("path", "row_idx", "line_no", F.when(v.isNull(), bad).otherwise(F.trim("value")).alias("raw")).withColumn("doc", F.parse_json("raw"))
 
 
 def jsonl_lenient(spark: SparkSession, path: str) -> DataFrame:
