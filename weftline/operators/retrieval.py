@@ -2,33 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, similarity
+from ..functions.vectors import cosine
+from .neighbours import nearest as knn  # noqa: F401  the retrieval that routes and flows use
 
 MIN_SIMILARITY = 0.80
-#: Rows of the index in one block, and queries that meet it in one task.
-INDEX_BLOCK, QUERY_BLOCK = 16_384, 4_096
-
-
-def knn(queries: DataFrame, index: DataFrame, k: int = 1, metric: str = "ip", own: bool = True) -> DataFrame:
-    """query_id, vec_id, score and rank of the k best rows of index (vec_id, embedding) for each query (query_id, query_embedding).
-
-    Exact. Index rows are dealt over blocks of about INDEX_BLOCK, as many as the index needs, and queries over blocks of
-    QUERY_BLOCK; each block of queries meets each of rows, an equi-join on both, and keeps its k best of a query before
-    they meet. Ties go to the smaller vec_id. A query's own vec_id counts like any other unless own is false.
-    """
-    blocks, parts = max(8, -(-index.count() // INDEX_BLOCK)), max(1, -(-queries.count() // QUERY_BLOCK))
-    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    i = index.select("vec_id", "embedding", deal("vec_id", blocks).alias("block")).withColumn("part", each(parts))
-    q = queries.select("query_id", "query_embedding", deal("query_id", parts).alias("part")).withColumn("block", each(blocks))
-    met = q.join(i, ["block", "part"])
-    scored = (met if own else met.filter("query_id <> vec_id")).select("query_id", "block", "vec_id", similarity(F.col("query_embedding"), F.col("embedding"), metric).alias("score"))
-    inside = Window.partitionBy("query_id", "block").orderBy(F.col("score").desc(), "vec_id")
-    best = scored.withColumn("r", F.row_number().over(inside)).filter(F.col("r") <= k).drop("r")
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))).filter(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")
 
 
 def route(score: Column, min_similarity: float = MIN_SIMILARITY, metric: str = "ip", decompose: bool = True) -> Column:
