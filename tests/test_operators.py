@@ -110,14 +110,14 @@ def test_interfaces(spark):
     raw = json.dumps({"@type": "Interface", "@context": interfaces.CONTEXT, "@id": "dtmi:car:brake;1", "displayName": "B", "description": "d", "contents": [{"@type": "Property", "name": "dockerImage", "schema": "string"}, {"@type": "Property", "name": "speed", "schema": "double"}, {"@type": "Telemetry", "name": "temp"}, 5]})
     df = spark.createDataFrame([(raw,), ('{"@type":"Interface"}',)], "j string").withColumn("v", F.parse_json("j"))
     assert [r[0] for r in df.select(interfaces.valid_interface(F.col("v"))).collect()] == [True, False]
-    r = df.limit(1).withColumn("c", interfaces.contents(F.col("v"))).select(interfaces.properties(F.col("c")).alias("p"), interfaces.names_of(F.col("c"), "Telemetry").alias("t"), interfaces.force_docker_value(F.col("c"), F.lit("dtmi:car:brake;1"), F.lit("car")).alias("d")).first()
+    r = df.limit(1).withColumn("c", interfaces.contents(F.col("j"))).select(interfaces.properties(F.col("c")).alias("p"), interfaces.names_of(F.col("c"), "Telemetry").alias("t"), interfaces.force_docker_value(F.col("c"), F.lit("dtmi:car:brake;1"), F.lit("car")).alias("d")).first()
     assert [(x.name, x.schema) for x in r.p] == [("speed", "double")] and r.t == ["temp"] and r.d[0].value == "registry.local/dtm/car/brake:v1.0.0"
 
 
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"a":1}\n\n{bad\n{"a":2}\n')
     assert readers.jsonl_lenient(spark, str(tmp_path / "a.jsonl")).count() == 2
-    with pytest.raises(Exception, match="bad JSON in line 2"):
+    with pytest.raises(Exception, match="bad JSON in line 3"):
         readers.jsonl_strict(spark, str(tmp_path / "a.jsonl")).select("doc").collect()
     (tmp_path / "s").mkdir()
     (tmp_path / "s" / "x.txt").write_text("min_per_sample=339.139648ms\n\nmin_human=28m30s\n")

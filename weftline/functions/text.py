@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import ast
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .json_text import is_array, is_object, json_shape
+
 SPACES = r"(?U)\s+"
 #: Dashes that count as a hyphen (U+2010, U+2012, U+2013, U+2014, U+2212).
 DASHES = "[‐‒–—−]"
@@ -66,24 +69,13 @@ def json_object_slice(c: Column) -> Column:
     """Text led by { as it is, else from the first { to the last }; {} where that is no JSON object."""
     t = F.trim(F.regexp_replace(c, r"^\s+|\s+$", ""))
     s = F.when(t.startswith("{"), t).otherwise(F.regexp_extract(t, r"(?s)(\{.*\})", 1))
-    return F.when(is_json_object(s), s).otherwise("{}")
+    return F.when(is_object(s), s).otherwise("{}")
 
 
 def json_array_slice(c: Column) -> Column:
     """The text if it is a JSON array, else from its first [ to its last ]; null if that is none."""
     whole, part = F.trim(c), F.regexp_extract(c, r"(?s)(\[.*\])", 1)
-    return F.when(_is_json(whole, "["), whole).when(_is_json(part, "["), part)
-
-
-def _is_json(c: Column, opening: str) -> Column:
-    # the parser stops at the end of the first value: what follows it is no JSON
-    closing = {"{": "}", "[": "]"}[opening]
-    t = F.trim(c)
-    return F.coalesce(t.startswith(opening) & t.endswith(closing) & F.try_parse_json(t).isNotNull(), F.lit(False))
-
-
-def is_json_object(c: Column) -> Column:
-    return _is_json(c, "{")
+    return F.when(is_array(whole), whole).when(is_array(part), part)
 
 
 def clock(seconds: Column) -> Column:
@@ -131,11 +123,9 @@ def display_id(is_object: Column, identifier: Column, display_name: Column) -> C
 
 
 def fill_template(template: str, **columns: Column) -> Column:
-    """A prompt: {name} in template is replaced by the column of that name, null by nothing."""
-    out = F.lit(template)
-    for name, c in columns.items():
-        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(c.cast("string"), F.lit("")))
-    return out
+    """A prompt: {name} in template is replaced by the column of that name, null by nothing. What a column holds is not looked at again; other braces stay."""
+    parts = re.split("(" + "|".join(r"\{" + re.escape(name) + r"\}" for name in columns) + ")", template) if columns else [template]
+    return F.concat(*(F.coalesce(columns[p[1:-1]].cast("string"), F.lit("")) if i % 2 else F.lit(p) for i, p in enumerate(parts)))
 
 
 def field_list(fields: Column) -> Column:
@@ -196,16 +186,14 @@ def json_or_literal(c: Column, strict: bool = False) -> Column:
     """JSON text of a text that holds JSON, or else a literal of Python syntax.
 
     strict cuts out the first object or list where the text does not begin with one, and what is neither raises an
-    error; otherwise the whole text is taken and what is neither comes back as it is. Only text that is no JSON
-    reaches a Python worker.
+    error; otherwise the whole text is taken and what is neither comes back as it is.
     """
     t = squeeze_ends(c)
     if strict:
         brace, bracket = F.regexp_extract(t, r"(?s)(\{.*\})", 1), F.regexp_extract(t, r"(?s)(\[.*\])", 1)
         first = F.when(brace == "", bracket).when(bracket == "", brace).when(F.locate("{", t) < F.locate("[", t), brace).otherwise(bracket)
         t = F.when(t.startswith("{") | t.startswith("[") | (first == ""), t).otherwise(first)
-    # the JVM's parser stops at the end of the first value: only closed objects and lists, or bare values, count as JSON
-    good = F.coalesce(F.try_parse_json(t).isNotNull() & (_is_json(t, "{") | _is_json(t, "[") | ~t.rlike(r"^[\[{]")), F.lit(False))
+    good = json_shape(t).isNotNull()
     other = _literal(F.when(~good, t))
     bad = F.raise_error(F.concat(F.lit("neither JSON nor a literal: "), c)) if strict else c
     return F.when(c.isNull(), None).when(good, t).when(other.isNotNull(), other).otherwise(bad)

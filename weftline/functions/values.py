@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .json_text import object_entries
 from .text import comparable
 
 NUMBER = r"^[+-]?(\d+(_\d+)*)?(\.\d*(_\d+)*)?([eE][+-]?\d+)?$"
@@ -103,9 +104,6 @@ def cast_generated(v: Column, schema: Column) -> Column:
 
 
 def explode_object(df: DataFrame, json: str, keep: list[str], prefix: str = "") -> DataFrame:
-    """One row per key of the JSON object in column json: keep, key and value (canonical). Explicit nulls are rows; bad JSON gives none."""
-    spark = df.sparkSession
-    parsed = df.select(*keep, F.try_parse_json(json).alias("__v"))
-    names = ", ".join(f"`{k}`" for k in keep)
-    rows = spark.sql(f"SELECT {names}, e.key, e.value AS __x FROM {{parsed}}, LATERAL variant_explode(__v) e WHERE e.key IS NOT NULL", parsed=parsed)
-    return rows.select(*keep, F.col("key").alias(prefix + "key"), canonical(F.col("__x")).alias(prefix + "value"))
+    """One row per key of the JSON object in column json: keep, key and value (canonical). Explicit nulls are rows, the last of repeated keys counts; what is no object gives none."""
+    rows = df.select(*keep, F.explode(object_entries(json)).alias("__e"))
+    return rows.select(*keep, F.col("__e.key").alias(prefix + "key"), F.col("__e.value").alias(prefix + "value"))

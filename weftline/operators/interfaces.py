@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.json_text import content_entries, object_items
 from ..functions.text import display_id, dtmi_component
 
 # What the wire format names.
@@ -33,23 +34,21 @@ def valid_topic(v: Column) -> Column:
     return _is(v, "id", "STRING") & _is(v, "title", "STRING") & _is(v, "brief", "STRING") & ~F.coalesce(ident.rlike("[ -]"), F.lit(True))
 
 
-def contents(v: Column) -> Column:
-    """Entries of an interface as structs: its contents list, else the lists of all subsystem keys in order; entries that are no object are left out."""
-    entry = lambda x: F.struct(F.coalesce(get(x, "@type"), get(x, "type")).alias("type"), get(x, "name").alias("name"), get(x, "schema").alias("schema"), get(x, "value").alias("value"))
-    parts = F.try_variant_get(v, "$", "map<string,variant>")
-    lists = F.flatten(F.transform(F.filter(F.map_entries(parts), lambda e: e["key"].endswith(SUFFIX)), lambda e: F.coalesce(F.try_variant_get(e["value"], "$", "array<variant>"), F.array())))
-    items = F.coalesce(get(v, "contents", "array<variant>"), lists)
-    return F.transform(F.filter(items, lambda x: F.schema_of_variant(x).startswith("OBJECT")), entry)
+def contents(raw: Column) -> Column:
+    """Entries of an interface (JSON text) as structs: its contents list, else the lists of all subsystem keys in the document's order; entries that are no object are left out."""
+    return F.transform(content_entries(raw, F.lit(SUFFIX)), lambda x: F.struct(*(x[c].alias(c) for c in ("type", "name", "schema", "value"))))
 
 
-def properties(entries: Column) -> Column:
-    """name and schema (string if absent) of named Property entries, without dockerImage."""
-    keep = F.filter(entries, lambda x: (x["type"] == "Property") & x["name"].isNotNull() & (x["name"] != "dockerImage"))
+def properties(entries: Column, image: bool = False) -> Column:
+    """name and schema (string if absent) of named Property entries, dockerImage only with image."""
+    keep = F.filter(entries, lambda x: (x["type"] == "Property") & x["name"].isNotNull() & (F.lit(image) | (x["name"] != "dockerImage")))
     return F.transform(keep, lambda x: F.struct(x["name"].alias("name"), F.coalesce(x["schema"], F.lit("string")).alias("schema")))
 
 
-def names_of(entries: Column, kind: str) -> Column:
-    return F.array_distinct(F.transform(F.filter(entries, lambda x: (x["type"] == kind) & x["name"].isNotNull()), lambda x: x["name"]))
+def names_of(entries: Column, kind: str, repeats: bool = False) -> Column:
+    """The names of entries of a kind, in order; a repeated one once, unless repeats."""
+    names = F.transform(F.filter(entries, lambda x: (x["type"] == kind) & x["name"].isNotNull()), lambda x: x["name"])
+    return names if repeats else F.array_distinct(names)
 
 
 def force_docker_value(entries: Column, identifier: Column, topic: Column) -> Column:
@@ -75,9 +74,9 @@ def unwrap_parsed(v: Column) -> Column:
     return F.when(F.schema_of_variant(inner).startswith("OBJECT"), inner).otherwise(v)
 
 
-def subsystem_blocks(v: Column) -> Column:
-    """Map of subsystem key to its list, for keys that end in the suffix and hold a list."""
-    return F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, x: k.endswith(SUFFIX) & F.schema_of_variant(x).startswith("ARRAY"))
+def subsystem_blocks(raw: Column) -> Column:
+    """Subsystem key and list (JSON text) of an interface (JSON text), in the document's order, for keys that end in the suffix and hold a list."""
+    return F.filter(object_items(raw), lambda x: x["key"].endswith(SUFFIX) & x["json"].startswith("["))
 
 
 def schema_spec(blocks: Column) -> Column:

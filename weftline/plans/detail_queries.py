@@ -105,8 +105,8 @@ SELECT p_partkey, j->>'$."@type"' = 'Interface' AND j->>'$."@context"' = 'dtmi:d
   array_to_string([x->>'$.name' FOR x IN e IF x->>'$."@type"' = 'Telemetry'], ',') AS telemetry,
   CASE WHEN len(e) > 0 AND e[2]->>'$.schema' = 'string' THEN 'registry.local/dtm/shop/' || regexp_extract(j->>'$."@id"', '^dtmi:[^:;]+:([^;]+);', 1) || ':v1.0.0' END AS image FROM c""")
 def interface_contents(spark, sf_dir):
-    p = read(spark, sf_dir, "part").select("p_partkey", F.try_parse_json(F.expr(INTERFACE)).alias("v"))
-    p = p.withColumn("e", F.coalesce(interfaces.contents(F.col("v")), F.array().cast(f"array<{interfaces.CONTENT}>")))
+    p = read(spark, sf_dir, "part").select("p_partkey", F.expr(INTERFACE).alias("raw")).withColumn("v", F.try_parse_json("raw"))
+    p = p.withColumn("e", F.coalesce(interfaces.contents(F.col("raw")), F.array().cast(f"array<{interfaces.CONTENT}>")))
     forced = interfaces.force_docker_value(F.col("e"), interfaces.get(F.col("v"), "@id"), F.lit("shop"))
     image = F.get(F.filter(forced, lambda x: x["value"].isNotNull()), F.lit(0))["value"]
     return p.select("p_partkey", interfaces.valid_interface(F.col("v")).alias("valid"), F.array_join(F.transform(interfaces.properties(F.col("e")), lambda x: F.concat(x["name"], F.lit(":"), x["schema"])), ",").alias("properties"), F.array_join(interfaces.names_of(F.col("e"), "Telemetry"), ",").alias("telemetry"), image.alias("image"))

@@ -35,11 +35,10 @@ def extract(rows: DataFrame, interfaces: DataFrame, generator: Callable, done: D
     got = explode_object(r, "json", ["row_idx"])
     wanted = r.select("row_idx", F.explode("fields").alias("f")).select("row_idx", F.col("f.name").alias("key"), F.col("f.schema").alias("schema"))
     cast = wanted.join(got, ["row_idx", "key"], "left").withColumn("v", coerce(F.col("value"), F.col("schema")))
-    shown = F.when(F.col("v.kind") == "num", F.when(F.col("v.form") == "bool", F.lower(as_text(F.col("v")))).otherwise(as_text(F.col("v")))).when(F.col("v.kind") == "str", F.to_json(F.array("v.str"))).otherwise(F.lit("null"))
-    item = F.concat(F.to_json(F.array("key")), F.lit(":"), shown)
-    flat = F.regexp_replace(item, r'^\["(.*?)"\]:', '"$1":')
-    flat = F.regexp_replace(flat, r':\["(.*)"\]$', ':"$1"')
-    preds = cast.groupBy("row_idx").agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(flat)), ","), F.lit("}")).alias("pred"))
+    text = F.to_json(F.array("v.str"))
+    shown = F.when(F.col("v.kind") == "num", F.when(F.col("v.form") == "bool", F.lower(as_text(F.col("v")))).otherwise(as_text(F.col("v")))).when(F.col("v.kind") == "str", F.substr(text, F.lit(2), F.length(text) - 2)).otherwise(F.lit("null"))
+    pairs = F.array_sort(F.collect_list(F.struct("key", shown.alias("shown"))))
+    preds = cast.groupBy("row_idx").agg(F.to_json(F.map_from_entries(F.transform(pairs, lambda x: F.struct(x["key"], F.parse_json(x["shown"]))))).alias("pred"))
     status = F.when(F.col("fields").isNull(), "unknown_interface").when(F.col("json") == "{}", "no_object").otherwise("ok")
     out = r.select("row_idx", status.alias("status")).join(preds, "row_idx", "left")
     return out.withColumn("pred", F.when(F.col("status") == "ok", F.coalesce("pred", F.lit("{}"))).otherwise("{}"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_json_object
+from ..functions.json_text import is_object
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +66,7 @@ def jsonl_lenient(spark: SparkSession, path: str) -> DataFrame:
 def text_objects(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """The JSON objects that a text holds, one a line, and the lines that are none."""
     rows = df.withColumn("__lines", F.split(column, r"\R")).select("*", F.posexplode("__lines").alias("line_idx", "line")).drop("__lines").withColumn("line", F.trim("line")).filter("line <> ''")
-    good = is_json_object(F.col("line"))
+    good = is_object(F.col("line"))
     return rows.filter(good), rows.filter(~good)
 
 
