@@ -14,11 +14,11 @@ from .common import arrow_map, keeps, lean, text_bytes
 
 #: Hashed terms; with FACTORS of each of two machines this bounds the model at 2**18 * 17 * 4 bytes = 17.8 MB, whatever the corpus.
 TERMS, FACTORS = 1 << 18, 8
-#: Parts of the machine over all terms that are tried.
+#: Parts of the machine of pairs that are tried, and the rows and epochs it is fitted with.
 SHARES = (0.0, 0.25, 0.5, 1.0)
-#: Log loss of held-back rows under which the first machine has left nothing to learn, and the rows and epochs of the
-#: second, which costs as much as all terms of its rows.
-EXPLAINED, PAIR_ROWS, PAIR_EPOCHS = 0.05, 4_000, 6
+PAIR_ROWS, PAIR_EPOCHS = 4_000, 6
+#: How far a term must stand out by itself, in standard deviations, to have a quarter of the weight of one that is all telling.
+DOUBT = 2.5
 #: Labelled rows the model is fitted on at most, chosen by a hash of doc_id; each gives its distinct terms.
 FIT_ROWS = 12_000
 THRESHOLD = 0.3
@@ -93,90 +93,82 @@ class FactorizationMachine:
 
 
 def fit(terms: list[np.ndarray], y: np.ndarray, epochs: int = 14, seed: int = 7, pair_epochs: int = PAIR_EPOCHS) -> FactorizationMachine:
-    """Terms that tell something alone, and on top of them a second machine over all terms, as far as it helps rows it has not seen.
+    """Two machines over all terms in at least 3 documents: one that trusts a term as far as it tells something alone, and on top of it one that trusts all alike.
 
-    The second learns pairs of which neither term tells anything alone, on PAIR_ROWS rows at most. A fifth of the rows
-    chooses its part, from SHARES: over all terms a few labels also teach much chance. If the first machine alone
-    explains those rows, there is no second. Terms in fewer than 3 documents stay unknown.
+    The second learns pairs of which neither term tells anything alone. Over all terms a few labels also teach much chance,
+    so a fifth of the rows chooses its part, from SHARES, by log loss; this trial and the second machine take PAIR_ROWS
+    rows at most. The first learns from all rows.
     """
     rng = np.random.default_rng(seed)
-    kept = rng.random(len(terms)) >= 0.2
-    a, b = np.flatnonzero(kept), np.flatnonzero(~kept)
+    order = rng.permutation(len(terms))
+    b, a = order[: len(terms) // 5], order[len(terms) // 5 :][:PAIR_ROWS]
     first = _fit(terms, y, epochs, seed)
-    if len(b) < 20 or not 0 < y[a].mean() < 1:
+    if not len(b):
         return first
     trial = _fit([terms[i] for i in a], y[a], epochs, seed)
+    more = _fit([terms[i] for i in a], y[a], pair_epochs, seed, trial)
     starts = np.concatenate([[0], np.cumsum([len(terms[i]) for i in b])]).astype(np.int64)
     flat = np.concatenate([terms[i] for i in b])
-    loss_of = lambda z: float(np.logaddexp(0, np.where(y[b] > 0.5, -1, 1) * z).mean())
-    z = trial.logits(flat, starts)
-    if loss_of(z) <= EXPLAINED:
+    z, extra, sign = trial.logits(flat, starts), more.logits(flat, starts), np.where(y[b] > 0.5, -1, 1)
+    share = SHARES[int(np.argmin([np.logaddexp(0, sign * (z + c * extra)).mean() for c in SHARES]))]
+    if not share:
         return first
-    some = rng.permutation(a)[:PAIR_ROWS]
-    more = _fit([terms[i] for i in some], y[some], pair_epochs, seed, trial).logits(flat, starts)
-    # a part must lower the log loss clearly
-    loss = [loss_of(z + c * more) for c in SHARES]
-    best = int(np.argmin(loss))
-    if loss[best] > 0.98 * loss[0]:
-        return first
-    some = rng.permutation(len(terms))[:PAIR_ROWS]
-    return first.plus(_fit([terms[i] for i in some], y[some], pair_epochs, seed, first), SHARES[best])
+    some = order[:PAIR_ROWS]
+    return first.plus(_fit([terms[i] for i in some], y[some], pair_epochs, seed, first), share)
 
 
-def _fit(terms: list[np.ndarray], y: np.ndarray, epochs: int, seed: int, under: FactorizationMachine | None = None) -> FactorizationMachine:
-    """Logistic loss, minibatches and AdaGrad. Without under, over terms that tell something alone; with it, over all terms, for what is left of under's logits. No rows, or one label alone: the share of label 1 for all."""
-    df = np.zeros(TERMS, np.int64)
-    for t in terms:
-        df[t] += 1
+def _fit(terms: list[np.ndarray], y: np.ndarray, epochs: int, seed: int, under: FactorizationMachine | None = None, batch: int = 128) -> FactorizationMachine:
+    """Logistic loss, minibatches and AdaGrad. Without under, a term's value is what its counts in both labels tell beyond chance; with it, terms are all 1, for what is left of under's logits. No rows, or one label alone: the share of label 1 for all."""
     n, share = len(terms), float(y.mean()) if len(y) else 0.0
-    known = df >= 3
-    w, v = np.zeros(TERMS, np.float32), np.zeros((TERMS, FACTORS), np.float32)
     bias = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
     if n == 0 or share in (0.0, 1.0):
-        return FactorizationMachine(np.zeros(TERMS, bool), bias, w, v, 1.0)
-    # alone, terms alike in both labels only add noise: keep those whose counts differ beyond chance
-    pos = np.zeros(TERMS, np.int64)
-    for t, k in zip(terms, y, strict=True):
-        if k:
-            pos[t] += 1
-    expect = df * share
-    z = (pos - expect) / np.sqrt(np.maximum(expect * (1 - share), 1e-9))
+        return FactorizationMachine.of(np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros((0, FACTORS), np.float32), bias)
+    flat, sizes = np.concatenate(terms), np.array([len(t) for t in terms])
+    df, pos = np.bincount(flat, minlength=TERMS), np.bincount(flat, np.repeat(y, sizes), minlength=TERMS)
+    known = np.flatnonzero(df >= 3)
+    place = np.full(TERMS, -1, np.int32)
+    place[known] = np.arange(len(known))
+    flat = place[flat]
+    sizes = np.add.reduceat(np.append(flat >= 0, 0), np.concatenate([[0], np.cumsum(sizes)[:-1]])) * (sizes > 0)
+    flat = flat[flat >= 0]
+    starts = np.concatenate([[0], np.cumsum(sizes)])
     if under is None:
-        known &= np.abs(z) > 2.5
-        base = np.zeros(n)
+        # alone, terms alike in both labels mostly add noise
+        z = (pos[known] - df[known] * share) / np.sqrt(df[known] * share * (1 - share))
+        x, base = (z**2 / (z**2 + DOUBT**2)) ** 2, np.zeros(n)
     else:
-        bias, base = 0.0, under.logits(np.concatenate(terms), np.concatenate([[0], np.cumsum([len(t) for t in terms])]).astype(np.int64))
-    rows = [t[known[t]] for t in terms]
+        x, bias, base = np.ones(len(known)), 0.0, under.logits(known[flat], starts)
+    x, m = x.astype(np.float32), len(known)
     rng = np.random.default_rng(seed)
-    v[known] = rng.normal(0, 0.02, (int(known.sum()), FACTORS))
-    gw, gv, gb = np.full(TERMS, 1e-2, np.float32), np.full((TERMS, FACTORS), 1e-2, np.float32), 1e-2
-    rate, l2, scale = 0.25, 1e-4, 1.0
+    w, v = np.zeros(m, np.float32), rng.normal(0, 0.1, (m, FACTORS)).astype(np.float32)
+    gw, gv, gb = np.full(m, 1e-2, np.float32), np.full((m, FACTORS), 1e-2, np.float32), 1e-2
+    rate, l2 = 0.25, 1e-4
     for _ in range(epochs):
         order = rng.permutation(n)
-        for a in range(0, n, 128):
-            part = order[a : a + 128]
-            some = [i for i in part if len(rows[i])]
-            if not some:
+        for a in range(0, n, batch):
+            part = order[a : a + batch]
+            some = part[sizes[part] > 0]
+            if not len(some):
                 continue
-            flat = np.concatenate([rows[i] for i in some])
-            sizes = np.array([len(rows[i]) for i in some])
-            begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            s = np.add.reduceat(v[flat], begin, axis=0)
-            q = np.add.reduceat((v[flat] ** 2).sum(axis=1), begin)
-            z = base[some] + bias + np.add.reduceat(w[flat], begin) + 0.5 * ((s**2).sum(axis=1) - q)
+            f, size = np.concatenate([flat[starts[i] : starts[i + 1]] for i in some]), sizes[some]
+            begin, xf = np.concatenate([[0], np.cumsum(size)[:-1]]), x[f]
+            vf = v[f] * xf[:, None]
+            s = np.add.reduceat(vf, begin, axis=0)
+            z = base[some] + bias + np.add.reduceat(w[f] * xf, begin) + 0.5 * ((s**2).sum(axis=1) - np.add.reduceat((vf**2).sum(axis=1), begin))
             g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[some]) / len(part)
-            gr = np.repeat(g, sizes)
-            at, back = np.unique(flat, return_inverse=True)
-            dw = np.bincount(back, gr) + l2 * w[at]
-            gvf = gr[:, None] * (np.repeat(s, sizes, axis=0) - v[flat])
-            dv = np.stack([np.bincount(back, gvf[:, k]) for k in range(FACTORS)], axis=1) + l2 * v[at]
-            gw[at] += dw**2
-            gv[at] += dv**2
-            w[at] -= rate * dw / np.sqrt(gw[at])
-            v[at] -= 0.2 * rate * dv / np.sqrt(gv[at])
+            gx = np.repeat(g, size).astype(np.float32) * xf
+            apart = np.repeat(s, size, axis=0) - vf
+            seen = np.bincount(f, minlength=m) > 0
+            dw = (np.bincount(f, gx, m) + l2 * w) * seen
+            gw += dw**2
+            w -= (rate * x * dw / np.sqrt(gw)).astype(np.float32)
+            for j in range(FACTORS):
+                dv = (np.bincount(f, gx * apart[:, j], m) + l2 * v[:, j]) * seen
+                gv[:, j] += dv**2
+                v[:, j] -= (0.4 * rate * x * dv / np.sqrt(gv[:, j])).astype(np.float32)
             gb += g.sum() ** 2
             bias -= 0.1 * rate * g.sum() / gb**0.5
-    return FactorizationMachine(known, bias, w, v, scale)
+    return FactorizationMachine.of(known.astype(np.int32), w * x, v * x[:, None], bias)
 
 
 def held_out(c: str = "doc_id") -> Column:
@@ -218,32 +210,33 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int =
 
 
 def score(docs: DataFrame, model: FactorizationMachine, keep: list[str] | None = None) -> DataFrame:
-    """The columns keep of docs (default doc_id) and score, from 0 to 1, of every row's whole text.
+    """The columns keep of docs (default doc_id) and score, from 0 to 1, of every row's whole text; a column called score in keep gives way to it.
 
     Null or empty text has the score of a text without known terms. Labels, languages and sources are not read.
     """
-    keep = ["doc_id"] if keep is None else keep
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model.parts())
+    keep = [c for c in (["doc_id"] if keep is None else keep) if c != "score"]
+    shared = docs.sparkSession.sparkContext.broadcast(model.parts())
+    # a text that is kept is sent once
+    own = keep.index("text") if "text" in keep and dict(docs.dtypes)["text"] == "string" else len(keep)
 
     def make():
         m = FactorizationMachine.of(*shared.value)
 
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
             out = []
-            texts = b.column("__text").to_pylist()
+            texts = b.column(own).cast(pa.binary()).to_pylist()
             for i in range(0, len(texts), 256):
-                t = [document_terms(x) for x in texts[i : i + 256]]
+                t = [document_terms(x or b"") for x in texts[i : i + 256]]
                 starts = np.concatenate([[0], np.cumsum([len(x) for x in t])]).astype(np.int64)
                 out.append(m.logits(np.concatenate(t), starts))
             p = 1 / (1 + np.exp(-np.clip(np.concatenate(out), -40, 40)))
-            return pa.record_batch([*(b.column(c) for c in keep), pa.array(p)], [*keep, "score"])
+            return pa.record_batch([*b.columns[: len(keep)], pa.array(p)], [*(f"c{i}" for i in range(len(keep))), "p"])
 
         return f
 
-    d = docs.select(*keep, text_bytes().alias("__text"))
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema.fields)
-    return arrow_map(d, make, f"{kinds}score double", "terms")
+    d = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(keep)), *([text_bytes().alias("t")] if own == len(keep) else []))
+    kinds = "".join(f"c{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep))
+    return arrow_map(d, make, f"{kinds}p double", "terms").toDF(*keep, "score")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
