@@ -119,7 +119,7 @@ def test_pack_histogram_places_many_pieces_by_patterns(counts, least, monkeypatc
             got.update({n: times * k for n, k in pattern.items()})
         assert got == Counter(many)
         sizes.append(len(p))
-        assert left[-1] <= max(packing.FEW, (1 - least) * sum(many.values()))
+        assert x == 1 or left[-1] <= (1 - least) * sum(many.values())
     assert left[-1] <= (1 - least) * sum(many.values()) and sizes[2] <= 2 * sizes[1] + 100
     bound = max(-(-sum(n * k for n, k in many.items()) // 2048), sum(k for n, k in many.items() if n > 1024))
     assert sum(t for t, _ in p) <= (1.41 if set(counts) <= set(range(700, 760)) else 1.003) * bound

@@ -212,21 +212,20 @@ def _best_fit(lengths: np.ndarray, need: np.ndarray, capacity: int) -> list[tupl
 
 
 #: Rounds of the linear program over what each pass leaves. Passes take patterns that leave this part of a sequence free
-#: at most, as long as each places a quarter of what was left, then larger parts.
-ROUNDS, FREE = (8, 4, 2, 2, 1), (0.0005, 0.002, 0.01, 1.0)
-#: Pieces that may be left to best fit, a bound of its work. Passes that waste more come only beyond it.
-FEW = 60_000
+#: at most, as long as each places a fiftieth of what was left, then larger parts.
+ROUNDS, FREE = (8, 4, 2, 2, 1), (0.0, 0.0005, 0.001, 0.002, 0.005, 0.01, 0.03, 1.0)
+PLACES = 0.02
 
 
 def pack_histogram(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
     """Patterns (how often, {length: copies}) that hold counts[length] pieces of each length exactly.
 
-    The fractional solution is rounded down and never above what is left; what is left is solved again. The first
-    passes take patterns that fill their sequences, the others any, as long as more than FEW pieces are left and
-    rounding leaves less than three quarters of them. Best-fit decreasing places the rest, which is bounded by FEW or
-    one set of pieces for each pattern of the last pass: of few pieces a length, rounding down leaves nearly all. Work,
-    patterns and pieces left to best fit depend on capacity, the number of distinct lengths and rounds, not on the
-    number of pieces. No pieces: no patterns.
+    The fractional solution of each pass is rounded, never above what is left, and what is left is solved again. Patterns
+    that all but fill their sequences are rounded up or down, so that as many are taken as the solution takes in all, each
+    pattern's fraction carried on to the next; in the last passes, whose patterns may waste room, they are rounded
+    down. Best-fit decreasing places the rest, which is less than one set of pieces for each pattern of the last pass.
+    Work, patterns and pieces left to best fit depend on capacity, the number of distinct lengths and rounds, not on
+    the number of pieces. No pieces: no patterns.
     """
     lengths = np.array(sorted(n for n, k in counts.items() if k > 0), np.int64)
     left = np.array([counts[n] for n in lengths.tolist()], np.int64)
@@ -242,16 +241,22 @@ def pack_histogram(counts: dict[int, int], capacity: int) -> list[tuple[int, dic
         lengths, left = lengths[~full], left[~full]
     for free in FREE:
         turn = 0
-        while left.sum() > (FEW if turn or free > FREE[0] else 0):
-            on, before = np.flatnonzero(left), left.sum()
+        while left.any():
+            on, before, carried = np.flatnonzero(left), left.sum(), 0.0
             for x, pattern in _cover(lengths[on], left[on].astype(float), capacity, ROUNDS[min(turn, len(ROUNDS) - 1)]):
-                n = min(int(x + 1e-9), *(int(left[on[j]]) // k for j, k in pattern.items()), 1 << 62)
-                if n and capacity - sum(int(lengths[on[j]]) * k for j, k in pattern.items()) <= free * capacity:
+                if capacity - sum(int(lengths[on[j]]) * k for j, k in pattern.items()) > free * capacity:
+                    continue
+                whole = int(x + 1e-9)
+                carried = min(carried + x - whole, 1.0) if free < 1 else 0.0
+                wanted = whole + (carried > 1 - 1e-9)
+                n = min(wanted, *(int(left[on[j]]) // k for j, k in pattern.items()), 1 << 62)
+                if n:
+                    carried -= n > whole
                     add(n, {int(lengths[on[j]]): k for j, k in pattern.items()})
                     for j, k in pattern.items():
                         left[on[j]] -= n * k
             turn += 1
-            if left.sum() > 0.75 * before:
+            if left.sum() > (1 - PLACES) * before:
                 break
     for n, pattern in _best_fit(lengths, left, capacity):
         add(n, pattern)
@@ -286,29 +291,29 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     shelf = Shelf(spark, "pack")
     pieces = shelf.put(pieces, "pieces")
     buckets = max(64, pieces.count() // RANK_ROWS)
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
-    sizes = shelf.put(dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")), "sizes")
+    dealt = pieces.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
+    sizes = shelf.put(dealt.groupBy("length", "__bucket").agg(F.count("*").alias("n")), "sizes")
     histogram = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots = spark.sparkContext.broadcast(_slots(pack_histogram(histogram, capacity)))
 
-    before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
-    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1)
-    ranked = ranked.join(before.select("length", "bucket", F.coalesce("before", F.lit(0)).alias("before")), ["length", "bucket"])
-    ranked = ranked.withColumn("rank", F.col("rank") + F.col("before")).drop("before", "bucket")
-    names = [f.name for f in ranked.schema.fields if f.name != "rank"]
+    before = sizes.withColumn("__before", F.sum("n").over(Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)))
+    ranked = dealt.withColumn("__rank", F.row_number().over(Window.partitionBy("length", "__bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1)
+    ranked = ranked.join(before.select("length", "__bucket", F.coalesce("__before", F.lit(0)).alias("__before")), ["length", "__bucket"])
+    names = pieces.columns
+    ranked = ranked.select(*names, (F.col("__rank") + F.col("__before")).alias("__rank"))
 
     def make():
         s = slots.value
 
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
-            n, r = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "rank"))
+            n, r = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "__rank"))
             i = np.searchsorted(s["key"], n << 44 | r, "right") - 1
             r = r - s["rank"][i]
             return pa.record_batch([*(b.column(c) for c in names), pa.array(s["first"][i] + r // s["copies"][i]), pa.array(s["offset"][i] + r % s["copies"][i] * n)], [*names, "sequence_id", "offset"])
 
         return f
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema.fields if f.name != "rank")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema.fields if f.name != "__rank")
     return arrow_map(ranked, make, f"{kinds}, sequence_id long, offset long")
 
 
