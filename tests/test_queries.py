@@ -3,7 +3,7 @@ import re
 import pytest
 from oracle import connect, rows_of, sql_rows
 
-from weftline.plans import detail_queries  # noqa: F401  registers its queries
+from weftline.plans import detail_queries, stream_queries  # noqa: F401  they register their queries
 from weftline.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"

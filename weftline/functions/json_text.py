@@ -94,21 +94,34 @@ def list_items(c: pa.Array) -> pa.Array:
     return pa.array([[written(x) for x in v] if isinstance(v, list) else None for v, _ in map(read, c.to_pylist())], pa.list_(pa.string()))
 
 
+def _entries(v, suffix: str) -> list[tuple] | None:
+    """key, type, name, schema and value of an interface's entries; see content_entries()."""
+    if not isinstance(v, dict):
+        return None
+    text = lambda x: x if x is None or isinstance(x, str) else written(x)
+    lists = [(None, v["contents"])] if isinstance(v.get("contents"), list) else [(k, x) for k, x in v.items() if k.endswith(suffix) and isinstance(x, list)]
+    kind = lambda x: x["@type"] if x.get("@type") is not None else x.get("type")
+    return [(k, text(kind(x)), text(x.get("name")), text(x.get("schema")), text(x.get("value"))) for k, items in lists for x in items if isinstance(x, dict)]
+
+
+@F.arrow_udf(ArrayType(StructType([StructField("subsystem", StringType()), StructField("names", ArrayType(StringType()))])))
+def property_names(c: pa.Array, suffix: pa.Array) -> pa.Array:
+    """Of an interface without a contents list, each key that ends in suffix, without it, and the distinct names of its Property entries, in the document's order."""
+    rows = []
+    for (v, _), end in zip(map(read, c.to_pylist()), suffix.to_pylist(), strict=True):
+        found: dict[str, dict[str, None]] = {}
+        for key, kind, name, *_ in _entries(v, end) or ():
+            if key is not None and kind == "Property" and name is not None:
+                found.setdefault(key.removesuffix(end), {})[name] = None
+        rows.append([(k, list(names)) for k, names in found.items()] if isinstance(v, dict) else None)
+    return _lists(rows, [("subsystem", pa.string()), ("names", pa.list_(pa.string()))])
+
+
 @F.arrow_udf(_texts("key", "type", "name", "schema", "value"))
 def content_entries(c: pa.Array, suffix: pa.Array) -> pa.Array:
     """Entries of an interface: of its contents list (key null), else of the lists of all keys that end in suffix, in the document's order. Items that are no object are left out."""
 
-    def text(x):
-        return x if x is None or isinstance(x, str) else written(x)
-
-    def entries(v, end: str):
-        if not isinstance(v, dict):
-            return None
-        lists = [(None, v["contents"])] if isinstance(v.get("contents"), list) else [(k, x) for k, x in v.items() if k.endswith(end) and isinstance(x, list)]
-        kind = lambda x: x["@type"] if x.get("@type") is not None else x.get("type")
-        return [(k, text(kind(x)), text(x.get("name")), text(x.get("schema")), text(x.get("value"))) for k, items in lists for x in items if isinstance(x, dict)]
-
-    rows = [entries(v, end) for (v, _), end in zip(map(read, c.to_pylist()), suffix.to_pylist(), strict=True)]
+    rows = [_entries(v, end) for (v, _), end in zip(map(read, c.to_pylist()), suffix.to_pylist(), strict=True)]
     return _lists(rows, [(n, pa.string()) for n in ("key", "type", "name", "schema", "value")])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.json_text import content_entries, object_items
+from ..functions.json_text import content_entries, object_items, property_names
 from ..functions.text import display_id, dtmi_component
 
 # What the wire format names.
@@ -79,6 +79,11 @@ def subsystem_blocks(raw: Column) -> Column:
     return F.filter(object_items(raw), lambda x: x["key"].endswith(SUFFIX) & x["json"].startswith("["))
 
 
+def subsystem_properties(raw: Column) -> Column:
+    """Subsystem names, without the suffix, and the names of their properties, in the document's order; subsystems without properties are left out."""
+    return property_names(raw, F.lit(SUFFIX))
+
+
 def schema_spec(blocks: Column) -> Column:
     """Subsystem name to the names of its properties; blocks: map of key to entries (structs)."""
     short = F.transform_keys(blocks, lambda k, _: F.regexp_replace(k, SUFFIX + "$", ""))

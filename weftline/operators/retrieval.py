@@ -23,10 +23,18 @@ def group_index(rows: DataFrame, group: str, index: str, interface: str) -> Data
     return g.select(group, F.transform("items", lambda x: x["i"]).alias("ids"), F.transform("items", lambda x: x["i"] + 1).alias("line_numbers"), F.transform("items", lambda x: x["x"]).alias("interfaces"))
 
 
-def triplet_metrics(triplets: DataFrame) -> DataFrame:
-    """cosine_accuracy (positive strictly nearer), mean positive and negative cosine of rows anchor, positive, negative."""
-    t = triplets.select(cosine(F.col("anchor"), F.col("positive")).alias("p"), cosine(F.col("anchor"), F.col("negative")).alias("n"))
-    return t.agg(F.avg((1 - F.col("p") < 1 - F.col("n")).cast("double")).alias("cosine_accuracy"), F.avg("p").alias("positive_cosine"), F.avg("n").alias("negative_cosine"))
+def triplet_metrics(triplets: DataFrame, more: dict[str, Column] | None = None) -> DataFrame:
+    """cosine_accuracy (positive strictly nearer), mean positive, negative and metadata cosine of rows anchor, positive, negative, and what more adds.
+
+    The metadata of a triplet are its anchor and its positive unless it has columns metadata_a and metadata_b. more holds
+    aggregates over the triplets by name: that is how an evaluator is extended.
+    """
+    own = {"metadata_a", "metadata_b"} <= set(triplets.columns)
+    pair = lambda a, b: cosine(F.col(a), F.col(b))
+    t = triplets.withColumns({"__p": pair("anchor", "positive"), "__n": pair("anchor", "negative")})
+    t = t.withColumn("__m", pair("metadata_a", "metadata_b") if own else F.col("__p"))
+    means = [F.avg((1 - F.col("__p") < 1 - F.col("__n")).cast("double")).alias("cosine_accuracy"), F.avg("__p").alias("positive_cosine"), F.avg("__n").alias("negative_cosine"), F.avg("__m").alias("metadata_cosine")]
+    return t.agg(*means, *(c.alias(name) for name, c in (more or {}).items()))
 
 
 def hash_split(key: Column, parts: tuple[float, ...] = (0.8, 0.1, 0.1), seed: int = 42) -> Column:

@@ -38,13 +38,20 @@ def per_key(fields: DataFrame) -> DataFrame:
     return fields.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn", "required", "predicted")))
 
 
-def field_summary(fields: DataFrame, index: str = "row_idx") -> DataFrame:
-    """One row: pooled counts, precision, recall, f1, accuracy_union, em_field, em_row and rows; ratios are 0 where undefined."""
+def empty_predictions(pred: DataFrame, pred_json: str = "pred") -> DataFrame:
+    """One row: skipped, the number of rows whose prediction is the empty object, which count as not evaluated."""
+    return pred.agg(F.count_if(F.size(F.json_object_keys(pred_json)) == 0).alias("skipped"))
+
+
+def field_summary(fields: DataFrame, index: str = "row_idx", skipped: DataFrame | None = None) -> DataFrame:
+    """One row: pooled counts, precision, recall, f1, accuracy_union, em_field, em_row, rows and, if given, skipped; ratios are 0 where undefined."""
     rows = fields.groupBy(index).agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn", "required")))
     t = rows.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn", "required")), F.count_if((F.col("fp") == 0) & (F.col("fn") == 0)).alias("exact"), F.count("*").alias("rows"))
+    if skipped is not None:
+        t = t.join(skipped, F.lit(True))  # one row each
     c = F.col
     p, r = safe_ratio(c("tp"), c("tp") + c("fp")), safe_ratio(c("tp"), c("tp") + c("fn"))
-    return t.select("tp", "fp", "fn", "rows", p.alias("precision"), r.alias("recall"), safe_ratio(2 * p * r, p + r).alias("f1"), safe_ratio(c("tp"), c("tp") + c("fp") + c("fn")).alias("accuracy_union"), safe_ratio(c("tp"), c("required")).alias("em_field"), safe_ratio(c("exact"), c("rows")).alias("em_row"))
+    return t.select("tp", "fp", "fn", "rows", p.alias("precision"), r.alias("recall"), safe_ratio(2 * p * r, p + r).alias("f1"), safe_ratio(c("tp"), c("tp") + c("fp") + c("fn")).alias("accuracy_union"), safe_ratio(c("tp"), c("required")).alias("em_field"), safe_ratio(c("exact"), c("rows")).alias("em_row"), *(["skipped"] if skipped is not None else []))
 
 
 def strict_compare(gold: DataFrame, pred: DataFrame, index: str, gold_json: str, pred_json: str, telemetry: DataFrame | None = None) -> DataFrame:

@@ -9,9 +9,10 @@ from ..functions.text import duration
 from ..operators.scoring import rows_between
 
 
-def append_json(df: DataFrame, path: str) -> None:
-    """Appends rows as JSON lines; a row is there as a whole or not at all, as files are committed."""
-    df.write.mode("append").json(path)
+def append_json(df: DataFrame, path: str, *folders: str) -> None:
+    """Appends rows as JSON lines, in folders by the columns that are named; a row is there as a whole or not at all, as files are committed."""
+    w = df.write.mode("append")
+    (w.partitionBy(*folders) if folders else w).json(path)
 
 
 def overwrite_document(df: DataFrame, path: str) -> None:
