@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import query_length
 from ..functions.values import almost_equal, explode_object, key, normalized
+from .timing import time_stats
 
 # Keys that no comparison counts.
 IGNORED = ("@id", "displayName", "dockerImage", "interface")
@@ -105,18 +106,49 @@ def verdict_score(df: DataFrame, verdict: str, index: str) -> DataFrame:
     return out.select(index, F.when(ok, "ok").otherwise("error").alias("status"), "tp", "fp", F.col("fp").alias("fn"), F.when(ok, F.coalesce(F.try_variant_get("v", "$.overall_result", "string") == "PASS", F.lit(False))).alias("overall_ok"))
 
 
+# Keys of a nested record that are always there, and those that are there if they have a value, as they are called and the columns they are taken from.
+ALWAYS = ("query_index", "query", "desired_group_id", "path", "status", "route_time_seconds", "top1", "error")
+IF_ANY = {"manifest": "manifest", "direct_eval": "direct_eval", "subsystem_exact_match_eval": "subsystem_eval", "verify_eval": "verify_eval", "predicted_instance": "predicted_instance", "decompose_attempts": "decompose_attempts"}
+METRICS = ("tp", "fp", "fn", "tn", "precision", "recall", "f1")
+
+
 def records(df: DataFrame) -> DataFrame:
-    """One flat metrics record per query (query_index, query, path, top1_id, top1_score, status, route_time_seconds, evaluation, verify_ok).
+    """One flat metrics record per query (query_index, query, path, top1_faiss_id, top1_score, status, route_time_seconds, evaluation, verify_ok), and its nested debug record.
+
+    evaluation is a struct of overall_ok and METRICS, as far as it has them, or null: then interface_match_ok is false and
+    the metrics are null; a query without a hit (status no_result) has null for both. path is direct or composed;
+    llm_verify_ok is told for composed ones alone. debug is JSON text with all keys of ALWAYS, null or not, and those
+    of IF_ANY whose column df has and that are not null; columns of JSON text go in as they are.
+    """
+    e, kinds = F.col("evaluation"), dict(df.dtypes)
+    path = F.when(F.col("path") == "composed", "decompose+compose").otherwise(F.col("path"))
+    got = {f.name for f in df.schema["evaluation"].dataType.fields}
+    kind = {c: "double" if c in ("precision", "recall", "f1") else "bigint" for c in METRICS}
+    flat = [F.when(F.col("status") != "no_result", F.coalesce(e["overall_ok"], F.lit(False))).alias("interface_match_ok"), *((e[c] if c in got else F.lit(None).cast(kind[c])).alias(c) for c in METRICS)]
+    verified = F.when(path == "decompose+compose", F.col("verify_ok")).alias("llm_verify_ok")
+
+    def text(c: str) -> Column:
+        return F.col(c) if kinds[c] == "string" else F.to_json(c, {"ignoreNullFields": "false"})
+
+    top = F.when(F.col("top1_faiss_id").isNotNull(), F.struct("top1_faiss_id", "top1_score"))
+    given = {"path": path, "top1": top}
+    base = F.to_json(F.struct(*(given.get(c, F.col(c) if c in kinds else F.lit(None).cast("string")).alias(c) for c in ALWAYS)), {"ignoreNullFields": "false"})
+    more = [F.concat(F.lit(f',"{name}":'), text(c)) for name, c in IF_ANY.items() if c in kinds]
+    debug = F.concat(F.regexp_replace(base, r"\}$", ""), *(F.coalesce(m, F.lit("")) for m in more), F.lit("}"))
+    return df.select("query_index", path.alias("path"), "top1_faiss_id", "top1_score", "status", query_length(F.col("query")).alias("query_length"), "route_time_seconds", *flat, verified, debug.alias("debug"))
+
+
+def run_summary(records: DataFrame, run: dict[str, str | int | float | bool], seconds: str = "route_time_seconds") -> DataFrame:
+    """One row on a run: what run tells of its configuration, num_paper_records and num_debug_records, and overall_time_stats, direct_time_stats and decompose_time_stats.
 
-    evaluation is a struct of overall_ok, tp, fp, fn, precision, recall and f1, or null: then interface_match_ok is false
-    and the metrics are null. path direct or composed; without a hit (no_result) there is no evaluation. debug is the
-    nested record as JSON, without the keys that are null.
+    Time statistics are structs of n, avg, median, p95, min and max over records that have a time; null for a path
+    without records, and for no records n is 0.
     """
-    e = F.col("evaluation")
-    out = df.select("query_index", F.when(F.col("path") == "composed", "decompose+compose").otherwise(F.col("path")).alias("path"), F.col("top1_id"), F.col("top1_score"), "status", query_length(F.col("query")).alias("query_length"), "route_time_seconds", "query", "evaluation", "verify_ok")
-    flat = [F.coalesce(e["overall_ok"], F.lit(False)).alias("interface_match_ok"), *(e[c].alias(c) for c in ("tp", "fp", "fn", "precision", "recall", "f1")), F.when(F.col("path") == "decompose+compose", F.col("verify_ok")).alias("llm_verify_ok")]
-    debug = F.to_json(F.struct("query_index", "query", "path", "status", F.when(F.col("top1_id").isNotNull(), F.struct("top1_id", "top1_score")).alias("top1"), F.col("evaluation")))
-    return out.select("query_index", "path", "top1_id", "top1_score", "status", "query_length", "route_time_seconds", *flat, debug.alias("debug"))
+    counts = records.agg(F.count("*").alias("num_paper_records"), F.count("debug").alias("num_debug_records"))
+    figures = F.struct("n", "avg", "median", "p95", "min", "max")
+    overall = time_stats(records, seconds).select(figures.alias("overall_time_stats"))
+    paths = time_stats(records, seconds, "path").groupBy().agg(*(F.first(F.when(F.col("path") == p, figures), ignorenulls=True).alias(f"{name}_time_stats") for name, p in (("direct", "direct"), ("decompose", "decompose+compose"))))
+    return counts.join(overall, F.lit(True)).join(paths, F.lit(True)).select(*(F.lit(v).alias(k) for k, v in run.items()), "*")  # one row each
 
 
 def summaries(records: DataFrame, path: str = "path") -> DataFrame:

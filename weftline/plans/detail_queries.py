@@ -159,5 +159,5 @@ def evaluation_records(spark, sf_dir):
     i = F.col("event_id")
     zero = [F.lit(0.5).alias(c) for c in ("precision", "recall", "f1")]
     e = F.when(i % 4 > 0, F.struct((i % 2 == 0).alias("overall_ok"), (i % 5).alias("tp"), F.lit(0).alias("fp"), F.lit(0).alias("fn"), *zero))
-    rows = read(spark, sf_dir, "events").select(i.alias("query_index"), F.col("event_type").alias("query"), F.when(i % 3 == 0, "composed").otherwise("direct").alias("path"), i.alias("top1_id"), F.col("value").alias("top1_score"), F.lit("ok").alias("status"), F.lit(0.1).alias("route_time_seconds"), e.alias("evaluation"), (i % 7 == 0).alias("verify_ok"))
+    rows = read(spark, sf_dir, "events").select(i.alias("query_index"), F.col("event_type").alias("query"), F.when(i % 3 == 0, "composed").otherwise("direct").alias("path"), i.alias("top1_faiss_id"), F.col("value").alias("top1_score"), F.lit("ok").alias("status"), F.lit(0.1).alias("route_time_seconds"), e.alias("evaluation"), (i % 7 == 0).alias("verify_ok"))
     return scoring.records(rows).select("query_index", "path", F.col("query_length").cast("long").alias("query_length"), "interface_match_ok", "tp", "llm_verify_ok")

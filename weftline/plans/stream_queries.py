@@ -181,3 +181,35 @@ def triplet_extra_metrics(spark, sf_dir):
 def nested_placeholders(spark, sf_dir):
     """What a column holds is not taken for a placeholder."""
     return read(spark, sf_dir, "part").select("p_partkey", T.fill_template("Name {size}: {name} end, size {p_size}", name=F.concat("p_name", F.lit(" {p_size}")), p_size=F.col("p_size")).alias("prompt"))
+
+
+def _records(spark, sf_dir):
+    i = F.col("event_id")
+    evaluation = F.when(i % 4 > 0, F.struct((i % 2 == 0).alias("overall_ok"), *((i % n).alias(c) for c, n in (("tp", 5), ("fp", 2), ("fn", 3), ("tn", 7))), *(F.lit(0.5).alias(c) for c in ("precision", "recall", "f1"))))
+    e = read(spark, sf_dir, "events")
+    return e.select(
+        i.alias("query_index"), F.col("event_type").alias("query"), F.when(i % 3 == 0, "composed").otherwise("direct").alias("path"), F.when(i % 6 > 0, i).alias("top1_faiss_id"), F.when(i % 6 > 0, i / 8).alias("top1_score"), F.when(i % 6 == 0, "no_result").otherwise("ok").alias("status"),
+        (i % 97 / 64).alias("route_time_seconds"), evaluation.alias("evaluation"), (i % 7 == 0).alias("verify_ok"), F.when(i % 2 == 0, F.concat(F.lit("g"), "user_id")).alias("desired_group_id"), F.when(i % 5 == 0, F.col("props")).alias("predicted_instance"), F.when(i % 8 == 0, F.array(F.struct(i.alias("attempt")))).alias("decompose_attempts"),
+    )
+
+
+@query("""
+WITH e AS (SELECT *, event_id AS i FROM events)
+SELECT i AS query_index, CASE WHEN i % 6 > 0 THEN i END AS top1_faiss_id, CASE WHEN i % 4 > 0 THEN i % 7 END AS tn, CASE WHEN i % 6 > 0 THEN i % 4 > 0 AND i % 2 = 0 END AS interface_match_ok,
+  '{"query_index":' || i || ',"query":"' || event_type || '","desired_group_id":' || CASE WHEN i % 2 = 0 THEN '"g' || user_id || '"' ELSE 'null' END || ',"path":"' || CASE WHEN i % 3 = 0 THEN 'decompose+compose' ELSE 'direct' END || '","status":"' || CASE WHEN i % 6 = 0 THEN 'no_result' ELSE 'ok' END ||
+  '","error":null' || CASE WHEN i % 5 = 0 THEN ',"predicted_instance":' || props ELSE '' END || CASE WHEN i % 8 = 0 THEN ',"decompose_attempts":[{"attempt":' || i || '}]' ELSE '' END || '}' AS debug FROM e""")
+def debug_records(spark, sf_dir):
+    """Flat and nested records; the nested ones without their doubles, which engines spell differently."""
+    r = scoring.records(_records(spark, sf_dir))
+    plain = F.regexp_replace("debug", r',"route_time_seconds":[^,]*,"top1":(\{[^}]*\}|null)', "")
+    return r.select("query_index", "top1_faiss_id", "tn", "interface_match_ok", plain.alias("debug"))
+
+
+@query("""
+WITH r AS (SELECT event_id % 97 / 64.0 AS s, event_id % 3 = 0 AS composed FROM events
+), p AS (SELECT composed, count(*) AS n, round(avg(s), 6) AS a, round(median(s), 6) AS m, round(quantile_cont(s, 0.95), 6) AS q FROM r GROUP BY composed)
+SELECT 0.8::DOUBLE AS min_sim, 'ip' AS metric, (SELECT count(*) FROM r) AS num_paper_records, (SELECT count(*) FROM r) AS num_debug_records, (SELECT round(median(s), 6)::DOUBLE FROM r) AS median, (SELECT n FROM p WHERE composed) AS decomposed, (SELECT m::DOUBLE FROM p WHERE composed) AS decomposed_median,
+  (SELECT q::DOUBLE FROM p WHERE NOT composed) AS direct_p95, (SELECT a::DOUBLE FROM p WHERE NOT composed) AS direct_avg""")
+def run_summary(spark, sf_dir):
+    r = scoring.run_summary(scoring.records(_records(spark, sf_dir)), {"min_sim": retrieval.MIN_SIMILARITY, "metric": "ip"})
+    return r.select("min_sim", "metric", "num_paper_records", "num_debug_records", F.round("overall_time_stats.median", 6).alias("median"), F.col("decompose_time_stats.n").alias("decomposed"), F.round("decompose_time_stats.median", 6).alias("decomposed_median"), F.round("direct_time_stats.p95", 6).alias("direct_p95"), F.round("direct_time_stats.avg", 6).alias("direct_avg"))
