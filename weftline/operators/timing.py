@@ -19,9 +19,7 @@ def time_stats(df: DataFrame, value: str, *by: str) -> DataFrame:
     rows = tables.put(df.select(*by, F.col(value).cast("double").alias("__x")))
     stats = rows.groupBy(*by).agg(F.count("__x").alias("n"), F.avg("__x").alias("avg"), F.min("__x").alias("min"), F.max("__x").alias("max"))
     found = percentiles(rows, "__x", by, {"median": 0.5, "p95": 0.95}, tables)
-    if not by:
-        return stats.crossJoin(found).select("n", "avg", "median", "p95", "min", "max")  # one row each
-    same = [stats[c].eqNullSafe(found[c]) for c in by]
+    same = [stats[c].eqNullSafe(found[c]) for c in by] or [F.lit(True)]  # without groups one row each
     return stats.join(found, same, "left").select(*(stats[c] for c in by), "n", "avg", "median", "p95", "min", "max")
 
 

@@ -71,10 +71,13 @@ def verdict_counts(spark, sf_dir):
     return scoring.verdict_score(read(spark, sf_dir, "events").select("event_id", F.expr(VERDICT).alias("v")), "v", "event_id").select("event_id", "status", "tp", "fp", "overall_ok")
 
 
-@query("SELECT p_partkey AS row_idx, p_name, p_retailprice FROM part")
+@query("SELECT row_idx, o_custkey, other FROM (SELECT row_number() OVER (ORDER BY o_orderkey) AS row_idx, o_custkey FROM orders) JOIN (SELECT row_number() OVER (ORDER BY o_orderkey DESC) AS row_idx, o_orderkey AS other FROM orders) USING (row_idx)")
 def zip_positions(spark, sf_dir):
-    p = read(spark, sf_dir, "part").withColumnRenamed("p_partkey", "row_idx")
-    return joins.zip_rows(p.select("row_idx", "p_name"), p.select("row_idx", "p_retailprice"))
+    """Orders by their key beside orders from the last to the first."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    first = scoring.ranked(o, "o_orderkey").select(F.col("rank").alias("row_idx"), "o_custkey")
+    last = scoring.ranked(o.select((-F.col("o_orderkey")).alias("turned")), "turned").select(F.col("rank").alias("row_idx"), (-F.col("turned")).alias("other"))
+    return joins.zip_rows(first, last)
 
 
 @query(f"""SELECT event_id, s_name, CASE WHEN s_acctbal IS NULL THEN 'no_result' WHEN s_acctbal < 0.8 THEN 'composed' ELSE 'direct' END AS path,
@@ -86,12 +89,12 @@ def hit_metadata(spark, sf_dir):
     return h.select("event_id", "s_name", retrieval.route(F.col("s_acctbal")).alias("path"), F.array_join(members, ",").alias("members"))
 
 
-@query("SELECT c_custkey, TRUE AS other, TRUE AS known FROM customer")
+@query("""
+WITH h AS (SELECT c_custkey, md5('0:' || c_custkey) AS h FROM customer), n AS (SELECT c_custkey, coalesce(lead(c_custkey) OVER (ORDER BY h), first_value(c_custkey) OVER (ORDER BY h)) AS negative_key FROM h)
+SELECT n.c_custkey, negative_key, c_name AS negative_name FROM n JOIN customer c ON c.c_custkey = negative_key""")
 def negative_samples(spark, sf_dir):
-    """Negatives are drawn by a hash; what SQL can tell of them is that each is another key of the table."""
-    c = read(spark, sf_dir, "customer").select("c_custkey")
-    n = joins.negatives(c, "c_custkey").join(c.select(F.col("c_custkey").alias("negative_key"), F.lit(True).alias("known")), "negative_key", "left")
-    return n.select("c_custkey", F.coalesce(F.col("negative_key") != F.col("c_custkey"), F.lit(False)).alias("other"), F.coalesce("known", F.lit(False)).alias("known"))
+    c = read(spark, sf_dir, "customer")
+    return joins.negatives(c.select("c_custkey"), "c_custkey").join(c.select(F.col("c_custkey").alias("negative_key"), F.col("c_name").alias("negative_name")), "negative_key").select("c_custkey", "negative_key", "negative_name")
 
 
 INTERFACE = """concat('{"@type":"', CASE WHEN p_partkey % 5 = 0 THEN 'Twin' ELSE 'Interface' END, '","@context":"dtmi:dtdl:context;', CASE WHEN p_partkey % 7 = 0 THEN '3' ELSE '2' END, '","@id":"dtmi:', lower(p_brand), ':part', p_partkey, ';1",', CASE WHEN p_partkey % 11 = 0 THEN '' ELSE concat('"displayName":"', p_name, '",') END, '"description":', CASE WHEN p_partkey % 13 = 0 THEN '1' ELSE '"d"' END, ',"contents":', CASE WHEN p_partkey % 17 = 0 THEN '{}' ELSE concat('[{"@type":"Property","name":"size"},{"@type":"Property","name":"dockerImage","schema":"', CASE WHEN p_partkey % 3 = 0 THEN 'object' ELSE 'string' END, '"},7,{"@type":"Telemetry","name":"heat","schema":"double"},{"@type":"Property","name":"k', p_size, '","schema":"integer"}]') END, '}')"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import duration
+from ..functions.text import duration, pretty_json
 from ..operators.scoring import rows_between
 
 
@@ -16,8 +16,9 @@ def append_json(df: DataFrame, path: str, *folders: str) -> None:
 
 
 def overwrite_document(df: DataFrame, path: str) -> None:
-    """One document a row in a single file; for summaries of a few rows."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    """One document a row in a single file, indented by 2, keys in the order of the columns and nulls kept; for summaries of a few rows."""
+    text = pretty_json(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))
+    df.select(text.alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
 def append_keys(df: DataFrame, key: str, path: str) -> None:
