@@ -12,9 +12,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Shelf
+
 #: Characters of a payload in one archive file, about; a reader holds one file at a time.
 FILE_BYTES = 16 << 20
 DATE = "2000-01-01T00:00:00Z"
+#: Digests of several pages broadcast at most, about 100 bytes each; beyond, the same join is shuffled.
+BROADCAST_DIGESTS = 200_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
 
@@ -26,32 +30,35 @@ def base32_sha1(c: Column) -> Column:
     return F.translate(F.upper(F.concat(*four)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def _record_id(c: Column) -> Column:
-    """A urn:uuid that the id and the payload fix."""
-    h = F.md5(F.concat(F.lit("page "), F.coalesce(c.cast("string"), F.lit("null"))).cast("binary"))
+def _record_id(c: Column, digest: Column) -> Column:
+    """A urn:uuid that the id and the payload's digest fix."""
+    h = F.md5(F.concat(F.lit("page "), F.coalesce(c.cast("string"), F.lit("null")), F.lit(" "), digest).cast("binary"))
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))), F.lit(">"))
 
 
-def write_archives(pages: DataFrame, where: str, least: int = 0) -> None:
-    """One record per row of pages (page_id, url, html) into gzip files under where.
+def write_archives(pages: DataFrame, where: str, least: int = 0, date: str = DATE) -> None:
+    """One record per row of pages (page_id, url, html) into gzip files under where; date is their WARC-Date.
 
     Of records with equal payloads of at least least bytes, that with the smallest page_id is a response and the
-    others are revisits without payload; smaller payloads are all responses. Digests are grouped before payloads
-    meet them, and the join with a digest that very many pages share can be split. Null html is an empty payload,
+    others are revisits without payload; smaller payloads are all responses. Headers alone are shuffled, by payload
+    digest; the digests that several pages share go to all tasks while there are at most BROADCAST_DIGESTS of them, so
+    that payloads stay where they were read, and beyond that meet the pages in a join, which can split a digest that
+    very many pages share. An empty table gives no records. Null html is an empty payload,
     null url an empty target; line ends in a url become spaces. Rows that repeat page_id and payload are responses each,
     and so are pages of null page_id whose payload no page with an id has.
     """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " ").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("digest", base32_sha1(F.col("html").cast("binary")))
-    first = p.filter(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first"))
+    shelf = Shelf(pages.sparkSession, "digests")
+    shared = shelf.put(p.filter(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").select("digest", "first"), "shared")
     mean = pages.agg(F.avg(F.length("html"))).first()[0] or 0
-    p = p.join(first, "digest", "left")
+    p = p.join(F.broadcast(shared) if shared.count() <= BROADCAST_DIGESTS else shared, "digest", "left")
     again = (F.col("bytes") >= least) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes"), F.lit(END))
     head = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: "), F.when(again, "revisit").otherwise("response"), F.lit("\r\nWARC-Record-ID: "), _record_id(F.col("page_id")), F.lit(f"\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: "), F.col("url"),
+        F.lit("WARC/1.1\r\nWARC-Type: "), F.when(again, "revisit").otherwise("response"), F.lit("\r\nWARC-Record-ID: "), _record_id(F.col("page_id"), F.col("digest")), F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), F.col("url"),
         F.coalesce(F.concat(F.lit("\r\nX-Page-Id: "), F.col("page_id")), F.lit("")), F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("digest"),
-        F.when(again, F.concat(F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), _record_id(F.col("first")))).otherwise(""),
+        F.when(again, F.concat(F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), _record_id(F.col("first"), F.col("digest")))).otherwise(""),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "),
     )
     block = F.when(again, F.col("http")).otherwise(F.concat("http", "html"))
