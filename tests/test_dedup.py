@@ -69,3 +69,14 @@ def test_tables_are_dropped(spark):
     (new,) = set(Path(shared_dir(spark).removeprefix("file:")).glob("greedy-*")) - before
     left = {p.name for p in new.iterdir()}
     assert len(left) < 30 and all("1" != x for x in left)
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    on = lambda master: SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+    for master in ("spark://host:7077", "yarn", "k8s://host", "local-cluster[2,1,512]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(on(master))
+    assert shared_dir(on("local[4]")).startswith("file://")

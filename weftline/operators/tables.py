@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -24,10 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Tables:
-    """Tables of one job. put() writes and reads again, which cuts the lineage and survives the loss of an executor; drop() deletes one, clear() all."""
+    """Tables of one job. put() writes and reads again, which cuts the lineage and survives the loss of an executor; drop() deletes one, clear() all, as does the driver's end."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
+        atexit.register(self._end)
 
     def put(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -47,3 +50,7 @@ class Tables:
 
     def clear(self) -> None:
         self._delete(self.root)
+
+    def _end(self) -> None:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            self.clear()
