@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,21 +13,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tables import shared_dir
+
 #: Words everywhere here: runs of anything but space and U+0009 to U+000D. bytes.split() splits at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines of the cluster see: spark.checkpoint.dir. Where that is unset (tests), one of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="weftline-"))
-    return "file://" + _own[0]
-
 
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
