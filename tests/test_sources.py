@@ -47,6 +47,41 @@ def test_lines_of_splits_equal_whole_files(spark, tmp_path, split):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+@pytest.mark.parametrize("split", [61, 4096])
+def test_sections_of_splits_equal_whole_files(spark, tmp_path, split):
+    want = []
+    for name in ("a.txt", "b.txt", "c.txt"):
+        rows = R.choices(["== {} ==", "", "  ", "x", "a longer line, longer than others, as long as a split of 61 bytes"], [1, 4, 4, 20, 2], k=600)
+        rows = [x.format(i) for i, x in enumerate(rows)] if name != "c.txt" else ["no heading"] * 90
+        (tmp_path / name).write_text("\n".join(rows) + "\n")
+        section, n, some = None, 0, 0
+        for x in rows:
+            if x.startswith("=="):
+                section, n, some = x[3:-3], 0, 0
+                continue
+            n += 1
+            want.append((name, section, n, n - 1, some if x.strip() else None, x))
+            some += bool(x.strip())
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+        spark.conf.set("spark.sql.files.openCostInBytes", "10")
+        for blank in (True, False):
+            got = [(r.path.rsplit("/", 1)[-1], r.section, r.line_no, r.row_idx, r.value) for r in readers.lines(spark, str(tmp_path), blank, "^== (.+) ==$").collect()]
+            assert sorted(got, key=str) == sorted(((f, s, n, i if blank else j, x) for f, s, n, i, j, x in want if blank or j is not None), key=str)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_numbered_lines_need_no_file_for_each_customer(spark, tmp_path, monkeypatch):
+    from weftline.plans import stream_queries
+
+    monkeypatch.setattr(stream_queries, "_place", lambda spark, name: str(tmp_path / name))
+    spark.range(600).selectExpr("id AS o_orderkey", "id div 3 AS o_custkey", "'5-LOW' AS o_orderpriority").write.parquet(str(tmp_path / "orders.parquet"))
+    assert stream_queries.numbered_lines(spark, str(tmp_path)).count() == sum(i % 7 > 1 for i in range(600))
+    assert len(list((tmp_path / "lines").rglob("part-*.txt"))) <= 8
+
+
 def test_strict_names_the_physical_line(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"a": 1}\n\n{bad\n')
     with pytest.raises(Exception, match="bad JSON in line 3 of"):

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,42 +14,77 @@ from ..functions.json_text import is_object
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines with their place in their split, among all and among those that are not blank. A task reads its splits one after the other."""
-    split, places = None, (0, 0)
+    """Lines with their place in their split since its last heading, among all and among those that are not blank, and that heading. A task reads its splits one after the other."""
+    split, places, under = None, (0, 0), pa.scalar(None, pa.string())
     for b in batches:
-        path, start, some = b.column("path").to_numpy(zero_copy_only=False), b.column("start").to_numpy(), b.column("some").to_numpy(zero_copy_only=False).astype(np.int64)
-        new = np.ones(len(start), bool)
-        if len(new):
-            new[1:] = (start[1:] != start[:-1]) | (path[1:] != path[:-1])
-            new[0] = split != (path[0], start[0])
-        out = []
-        for before, each in zip(places, (np.ones(len(start), np.int64), some), strict=True):
-            # counted so far, less what had been counted where the split began
+        n, path, start, head = b.num_rows, b.column("path"), b.column("start"), b.column("head")
+        if not n:
+            continue
+        heading = head.is_valid().to_numpy(zero_copy_only=False)
+        new = np.ones(n, bool)
+        new[0] = split != (path[0].as_py(), start[0].as_py())
+        new[1:] = pc.or_(pc.not_equal(start[1:], start[:-1]), pc.not_equal(path[1:], path[:-1])).to_numpy(zero_copy_only=False)
+        new |= heading
+        out, after = [], []
+        for before, each in zip(places, (~heading, b.column("some").to_numpy(zero_copy_only=False) & ~heading), strict=True):
+            # counted so far, less what had been counted where the split or the section began
+            each = each.astype(np.int64)
             total = np.cumsum(each) - each + before
             out.append(total - np.maximum.accumulate(np.where(new, total, 0)))
-        if len(new):
-            split, places = (path[-1], start[-1]), (int(out[0][-1]) + 1, int(out[1][-1] + some[-1]))
-        yield pa.record_batch([*(b.column(c) for c in ("path", "start", "value", "some")), pa.array(out[0]), pa.array(out[1])], ["path", "start", "value", "some", "place", "some_place"])
-
-
-def lines(spark: SparkSession, path: str, blank: bool = False) -> DataFrame:
+            after.append(int(out[-1][-1] + each[-1]))
+        since = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+        heads = pc.if_else(pa.array(since < 0), under, head.take(pa.array(np.maximum(since, 0))))
+        split, places, under = (path[-1].as_py(), start[-1].as_py()), tuple(after), heads[-1]
+        yield pa.record_batch([*b.columns, *map(pa.array, out), heads], [*b.schema.names, "place", "some_place", "under"])
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many lines follow the last heading of each split, and that heading; a split that several batches hold comes several times, at its end with the largest at."""
+    done = 0
+    for b in _placed(batches):
+        path, start, own = b.column("path"), b.column("start"), b.column("head").is_null().to_numpy(zero_copy_only=False)
+        last = np.ones(b.num_rows, bool)
+        last[:-1] = pc.or_(pc.not_equal(start[1:], start[:-1]), pc.not_equal(path[1:], path[:-1])).to_numpy(zero_copy_only=False)
+        last = np.flatnonzero(last)
+        n = b.column("place").to_numpy() + own
+        n_some = b.column("some_place").to_numpy() + (own & b.column("some").to_numpy(zero_copy_only=False))
+        yield pa.record_batch([*(b.column(c).take(pa.array(last)) for c in ("path", "start", "under")), *(pa.array(x[last]) for x in (n, n_some)), pa.array(done + last)], ["path", "start", "under", "n", "n_some", "at"])
+        done += b.num_rows
+
+
+def lines(spark: SparkSession, path: str, blank: bool = False, heading: str | None = None) -> DataFrame:
     """path, row_idx, line_no and value of each line: row_idx counts from 0 in each file, blank lines left out unless blank, line_no is the line's own number, from 1.
 
+    heading: a pattern with one group. Lines that match it are headings and no rows, both numbers begin again after each,
+    and a further column, section, holds what the group took in the last one (null before the first). So many small texts
+    need no file each.
+
     Lines end with a line feed, a carriage return or both. Files are read in splits, of which any number may be of one
     file: lines are counted in each split, the counts are summed up over a file's splits, and a second pass adds a line's
     place in its split. Lines don't move. If the splits of the two passes differ, as they can if the number of cores
     changes in between, the query fails; then set spark.sql.files.minPartitionNum.
     """
     raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value")
-    raw = raw.withColumn("some", ~F.col("value").rlike(r"(?U)^\s*$"))
-    splits = raw.groupBy("path", "start").agg(F.count("*").alias("n"), F.count_if("some").alias("n_some"))
-    earlier = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.select("path", "start", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("n", "n_some")))
-    placed = raw.mapInArrow(_placed, "path string, start bigint, value string, some boolean, place bigint, some_place bigint").join(splits, ["path", "start"], "left")
-    known = lambda c: F.when(F.col(c).isNull(), F.raise_error(F.lit("the splits of a file have changed between two passes"))).otherwise(F.col(c))
-    kept = placed if blank else placed.filter("some")
-    row = known("n") + F.col("place") if blank else known("n_some") + F.col("some_place")
-    return kept.select("path", row.alias("row_idx"), (known("n") + F.col("place") + 1).alias("line_no"), "value")
+    head = F.when(F.col("value").rlike(heading), F.regexp_extract("value", heading, 1)) if heading else F.lit(None)
+    raw = raw.withColumn("some", ~F.col("value").rlike(r"(?U)^\s*$")).withColumn("head", head.cast("string"))
+    if heading:
+        ends = raw.drop("value").mapInArrow(_ends, "path string, start bigint, under string, n bigint, n_some bigint, at bigint")
+        splits = ends.groupBy("path", "start").agg(F.max_by(F.struct("n", "n_some", "under"), "at").alias("end")).select("path", "start", "end.*")
+    else:
+        splits = raw.groupBy("path", "start").agg(F.count("*").alias("n"), F.count_if("some").alias("n_some"), F.lit(None).cast("string").alias("under"))
+    order = Window.partitionBy("path").orderBy("start")
+    splits = splits.withColumn("headed", F.sum(F.col("under").isNotNull().cast("int")).over(order))
+    # a split without a heading goes on with what the one before ended with
+    so_far = Window.partitionBy("path", "headed").orderBy("start")
+    splits = splits.select("path", "start", "headed", *(F.sum(c).over(so_far).alias(c) for c in ("n", "n_some")), F.first("under").over(so_far).alias("section"))
+    splits = splits.select("path", "start", *(F.lag(c, 1, 0).over(order).alias(c) for c in ("n", "n_some")), F.lag("section").over(order).alias("section"))
+    placed = raw.mapInArrow(_placed, "path string, start bigint, value string, some boolean, head string, place bigint, some_place bigint, under string").join(splits, ["path", "start"], "left")
+    changed = F.raise_error(F.lit("the splits of a file have changed between two passes"))
+    earlier = lambda c: F.when(F.col(c).isNull(), changed).when(F.col("under").isNotNull(), 0).otherwise(F.col(c))
+    kept = placed.filter("head is null") if blank else placed.filter("head is null and some")
+    row = earlier("n") + F.col("place") if blank else earlier("n_some") + F.col("some_place")
+    section = [F.coalesce("under", "section").alias("section")] if heading else []
+    return kept.select("path", row.alias("row_idx"), (earlier("n") + F.col("place") + 1).alias("line_no"), "value", *section)
 
 
 def jsonl_strict(spark: SparkSession, path: str) -> DataFrame:
