@@ -175,6 +175,12 @@ def test_near_duplicates_edges(spark):
     assert near_dedup.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def test_mix_is_planned_in_small_steps(spark):
+    docs = spark.createDataFrame([(i, "a b c " * i, f"s{i % 3}") for i in range(30)], "doc_id long, text string, source string")
+    plan = mixing.mix(docs, block=4)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan.splitlines()) < 15  # one plan of all steps had 145 nodes, planned again after each shuffle
+
+
 # 3 media
 
 

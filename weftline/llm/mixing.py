@@ -62,16 +62,17 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
     holds it; so each stretch of slots has each source near its share. Where the sequence gives a source fewer
     slots than its target needs, by the sequence's discrepancy of a few, the last ones follow at the end in turn; slots past
     the target are left out and the last one is cut. Slots and sources meet in equal cells of the interval by an equi-join. Ranks are counted in chunks of slots and
-    added up over chunks, so no window holds all slots of a source.
+    added up over chunks, so no window holds all slots of a source. Steps are written: one plan of all of them is
+    planned again after each of its shuffles, which fills the driver's memory.
     """
-    spark = targets.sparkSession
+    shelf = Shelf(targets.sparkSession, "schedule")
     order = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
     t = targets.withColumn("want", F.floor("target").cast("long")).filter("want > 0")
     t = t.withColumn("hi", F.sum("want").over(order)).withColumn("all", F.sum("want").over(Window.partitionBy()))
     t = t.withColumn("no", F.row_number().over(order))
     point = lambda c: F.floor(c.cast("decimal(38,0)") * POINTS / F.col("all")).cast("long")
     t = t.withColumn("lo", point(F.col("hi") - F.col("want"))).withColumn("hi", point(F.col("hi"))).withColumn("need", F.ceil(F.col("want") / block))
-    t = t.withColumn("total", F.sum("need").over(Window.partitionBy()))
+    t = shelf.put(t.withColumn("total", F.sum("need").over(Window.partitionBy())), "targets")
     # as many slots as the targets need: one row of the sum, exploded in chunks
     width = POINTS // CELLS
     chunks = t.agg(F.sum("need").alias("need")).filter("need > 0").select("need", F.explode(F.sequence(F.lit(0), F.floor((F.col("need") - 1) / CHUNK))).alias("chunk")).repartition("chunk")
@@ -81,8 +82,9 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
     # merge, here and below: the planner takes slots for as small as the one row they are exploded from, and would broadcast them
     of_source = ["no", "source", "source_size", "want", "need"]
     hit = slots.join(cells.select("cell", "lo", "hi", *of_source).hint("merge"), "cell").filter("point >= lo and point < hi").select("slot", "chunk", *of_source)
+    hit = shelf.put(hit, "hits")
     counts = hit.groupBy("no", "chunk").agg(F.count("*").alias("n"))
-    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    counts = shelf.put(counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))), "counts")
     hit = hit.withColumn("turn", F.row_number().over(Window.partitionBy("no", "chunk").orderBy("slot")) - 1)
     hit = hit.join(counts.select("no", "chunk", "before").hint("merge"), ["no", "chunk"]).select("slot", *of_source, (F.col("turn") + F.col("before")).alias("turn"))
     has = counts.groupBy("no").agg(F.sum("n").alias("has"))
@@ -132,17 +134,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0,
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     digits = max(1, math.ceil(math.log(max(1, d.count()) / PART_ROWS, 16)))
     tt = targets.select(F.col("source").alias("ts"), "source_size", "target", F.floor("target").cast("long").alias("want"))
-    placed = shuffled_spans(d, sizes, seed, digits).join(tt, same("source", "ts")).drop("ts")
+    placed = shelf.put(shuffled_spans(d, sizes, seed, digits).join(tt, same("source", "ts")).drop("ts"), "placed")
     # where each pass over the source meets a document, in words of the mix; a block of those is the slot of one turn
     met = placed.filter("size > 0 and start < want").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("want") - 1 - F.col("start")) / F.col("source_size")))))
     met = met.withColumn("lo", F.col("pass") * F.col("source_size") + F.col("start")).withColumn("hi", F.least(F.col("lo") + F.col("size"), "want"))
     met = met.select("source", "start", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))).alias("turn"))
-    slots = schedule(targets, block).select(F.col("source").alias("ss"), F.col("turn").alias("st"), "slot", "words")
+    slots = shelf.put(schedule(targets, block).select(F.col("source").alias("ss"), F.col("turn").alias("st"), "slot", "words"), "slots")
     # merge, as both are far larger exploded than estimated
     drawn = met.hint("merge").join(slots, same("source", "ss") & (F.col("turn") == F.col("st")))
     cut = F.least("hi", F.col("turn") * block + F.col("words")) - F.greatest("lo", F.col("turn") * block)
     took = drawn.groupBy("source", "start").agg(F.sum(cut).alias("taken"), F.min("slot").alias("first_slot"), F.count("*").alias("draws"))
-    took = took.select(F.col("source").alias("ks"), F.col("start").alias("kstart"), "taken", "first_slot", "draws")
+    took = shelf.put(took.select(F.col("source").alias("ks"), F.col("start").alias("kstart"), "taken", "first_slot", "draws"), "taken")
     out = placed.join(took, same("source", "ks") & (F.col("start") == F.col("kstart")) & (F.col("size") > 0), "left")
     none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return out.select("doc_id", "source", "size", "source_size", "target", none("taken"), "first_slot", none("draws"), F.col("row").alias("row_hash"))
