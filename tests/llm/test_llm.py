@@ -184,6 +184,16 @@ def test_mix_is_planned_in_small_steps(spark):
 # 3 media
 
 
+def test_links_within_a_group_shrink_before_they_are_joined(spark):
+    from weftline.llm import components
+    from weftline.llm.common import Shelf
+
+    links = spark.range(150 * 150).selectExpr("id div 150 AS u", "id % 150 AS v").filter("u < v").repartition(3)
+    few = components.forest(links)
+    assert links.count() == 11175 and few.count() <= 3 * 149
+    assert {tuple(r) for r in components.connected_components(few, Shelf(spark, "test")).collect()} == {(i, 0) for i in range(150)}
+
+
 def test_media_copies(spark):
     rng = np.random.default_rng(2)
     ims = [media._mosaic(rng.normal(0, 0.125, 64)) for _ in range(12)]

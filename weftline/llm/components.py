@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import contracted
 from .common import Shelf
 
 
@@ -23,6 +24,11 @@ def _small_star(e: DataFrame) -> DataFrame:
     return up.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
+def forest(edges: DataFrame) -> DataFrame:
+    """Links (u, v: long, not null) that join the same nodes, of each task one at most for each of the nodes that it holds at a time: links within a group don't grow with its square."""
+    return edges.select("u", "v").mapInArrow(contracted, "u long, v long")
+
+
 def connected_components(edges: DataFrame, shelf: Shelf) -> DataFrame:
     """(node, component) for every node of edges (u, v); component is the smallest node reachable.
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Shelf, arrow_map, mix
-from .components import connected_components
+from .components import connected_components, forest
 
 #: Radius of a descriptor's patch, its binary tests, and the tables it is cut into: descriptors at most 3 bits apart share one of 4.
 RADIUS, TESTS, TABLES = 10, 128, 4
@@ -212,7 +212,7 @@ def image_copies(images: DataFrame, agree: int = AGREE) -> DataFrame:
     done = members.select("mark", F.col("u").alias("id")).distinct()
     at_once = 1
     while True:
-        comps = shelf.put(connected_components(edges, shelf), "components")
+        comps = shelf.put(connected_components(forest(edges), shelf), "components")
         known = members.select("mark", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").select("mark", "id", F.coalesce("component", "id").alias("c"))
         sizes = known.groupBy("mark", "c").agg(F.count("*").alias("n"))
         lead = sizes.groupBy("mark").agg(F.max_by("c", F.struct("n", "c")).alias("lead"), F.count("*").alias("cs")).filter("cs > 1").select("mark", "lead")
@@ -225,7 +225,8 @@ def image_copies(images: DataFrame, agree: int = AGREE) -> DataFrame:
             break
         pairs = now.join(members, "mark").filter("cu <> c").select(F.least("u", "id").alias("u"), F.greatest("u", "id").alias("v")).distinct()
         new = shelf.put(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
-        edges = edges.unionByName(shelf.put(_tried(new, one, agree), "edges"))
+        # what earlier links join is one link from each image to its component
+        edges = comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(shelf.put(_tried(new, one, agree), "edges"))
         tried, done = tried.unionByName(new), done.unionByName(now.select("mark", F.col("u").alias("id")))
         at_once *= 16
     named = reps.join(comps.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))

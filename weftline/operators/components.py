@@ -14,7 +14,7 @@ from .tables import Tables
 HELD_LINKS = 500_000
 
 
-def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links (u, v) as links from each node to the smallest of those that the links seen together tie it to."""
     root: dict[int, int] = {}
 
@@ -47,7 +47,7 @@ def components(links: DataFrame, tables: Tables) -> DataFrame:
     Each round ties every node's larger neighbours to its smallest one, then each node and its smaller neighbours to the
     smallest of them; minima are pre-aggregated and the rest are equi-joins, so that no node's neighbours are gathered.
     """
-    e = tables.put(links.select("u", "v").mapInArrow(_contracted, "u long, v long").distinct())
+    e = tables.put(links.select("u", "v").mapInArrow(contracted, "u long, v long").distinct())
     mark = None
     while True:
         both = e.union(e.select("v", "u"))
