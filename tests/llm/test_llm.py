@@ -255,6 +255,43 @@ def test_media_empty_table_and_a_large_group(spark):
     assert {r.image_id: r.component_id for r in got if r.image_id is None or r.image_id >= 100} == {100: 100, 101: 100, None: None}
 
 
+def test_media_pairs_once_tried_do_not_meet_again(spark, monkeypatch):
+    put, seen = media.Shelf.put, {}
+    monkeypatch.setattr(media.Shelf, "put", lambda self, df, name: seen.setdefault(name, []).append(put(self, df, name)) or seen[name][-1])
+    rng = np.random.default_rng(12)
+    ims = [media._mosaic(rng.normal(0, 0.125, 64)) for _ in range(600)]
+    media.image_copies(spark.createDataFrame([(i, 72, 72, im.tobytes()) for i, im in enumerate(ims)], "image_id long, width int, height int, pixels binary"))
+    first, *later = ([tuple(r) for r in m.select("mark", "id").collect()] for m in seen["members"])
+    smallest, size = {}, {}
+    for mark, i in first:
+        smallest[mark], size[mark] = min(i, smallest.get(mark, i)), size.get(mark, 0) + 1
+    assert sum(n == 2 for n in size.values()) >= 10
+    assert all(size[mark] > 2 and i > smallest[mark] for rows in later for mark, i in rows)
+
+
+def test_media_marks_of_groups_and_strangers_equal_brute_force(spark):
+    from weftline.llm.common import Shelf
+
+    # mark 1: a stranger that is smallest, then a large group; 2: two groups and strangers; 3: of one group; 4: strangers
+    group = {0: -1} | dict.fromkeys(range(1, 601), 0) | {i: 1 + i % 2 for i in range(700, 730)} | {i: -i for i in range(800, 806)}
+    marks = {1: range(601), 2: [0, *range(700, 730), *range(800, 803)], 3: range(5, 50), 4: range(800, 806)}
+    members = spark.createDataFrame([(m, i, min(ids)) for m, ids in marks.items() for i in ids], "mark long, id long, u long")
+    meet = {(i, j) for ids in marks.values() for i in ids for j in ids if i < j}
+    asked = []
+
+    def agreeing(pairs):
+        rows = [tuple(r) for r in pairs.collect()]
+        asked.extend(rows)
+        return spark.createDataFrame([(u, v) for u, v in rows if group[u] == group[v]], "u long, v long")
+
+    comp = {r.node: r.component for r in media._linked(members, agreeing, Shelf(spark, "test")).collect()}
+    least = {g: min(i for i in group if group[i] == g) for g in set(group.values())}
+    assert {i: comp.get(i, i) for i in group} == {i: least[group[i]] for i in group}
+    assert len(set(asked)) == len(asked) and set(asked) <= meet
+    # no pair of different groups is left out, and the large group of 179,700 pairs costs a few pairs a member
+    assert {(i, j) for i, j in meet if group[i] != group[j]} <= set(asked) and len(asked) < 12_000
+
+
 # 4 html
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,10 @@ from .components import connected_components, forest
 RADIUS, TESTS, TABLES = 10, 128, 4
 #: Corners that must agree on one similarity transform, within this many pixels.
 AGREE, PIXELS = 6, 3.0
-#: Directions of a corner's neighbours that its marks tell apart, parts in which members of a mark are numbered, and numbers compared at a time.
-DIRECTIONS, PARTS, AT_ONCE = 8, 64, 1 << 21
+#: Directions of a corner's neighbours that its marks tell apart, members of a mark that meet in one task, and numbers compared at a time.
+DIRECTIONS, PART, AT_ONCE = 8, 256, 1 << 21
+#: Next members, in a drawn order, that each member of a mark is tried with while more than that many pairs a member are left.
+NEXT, FEW = 2, 8
 
 _rng = np.random.default_rng(5)
 _tests = np.clip(_rng.normal(0, RADIUS / 2.2, (TESTS, 4)), -RADIUS + 1, RADIUS - 1)
@@ -161,15 +164,68 @@ def _tried(pairs: DataFrame, nodes: DataFrame, agree: int) -> DataFrame:
     return arrow_map(pairs.join(side("u"), "u").join(side("v"), "v"), make, "u long, v long")
 
 
+def _mixed(rest: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (mark, id) with their component c, and marks with the most common one (lead), members and pairs of different components; marks of one component go."""
+    known = rest.select("mark", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").select("mark", "id", F.coalesce("component", "id").alias("c"))
+    sizes = known.groupBy("mark", "c").agg(F.count("*").cast("double").alias("n"))
+    of = sizes.groupBy("mark").agg(F.max_by("c", F.struct("n", "c")).alias("lead"), F.sum("n").alias("members"), ((F.sum("n") ** 2 - F.sum(F.col("n") ** 2)) / 2).alias("cross"), F.count("*").alias("cs"))
+    return known, of.filter("cs > 1").drop("cs")
+
+
+def _next_pairs(rest: DataFrame, turn: int) -> DataFrame:
+    """Each member of a mark with the NEXT ones in an order drawn anew each turn, if they are of other components: NEXT pairs a member at most."""
+    parts = rest.withColumn("part", F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("members") / PART)))
+    drawn = Window.partitionBy("mark", "part").orderBy(F.xxhash64("id", F.lit(-1 - turn)), "id")
+    others = F.array(*(F.struct(F.lead("id", i).over(drawn).alias("id"), F.lead("c", i).over(drawn).alias("c")) for i in range(1, NEXT + 1)))
+    met = parts.select("id", "c", others.alias("others")).select("id", "c", F.explode("others").alias("o"))
+    return met.filter("c <> o.c").select(F.least("id", "o.id").alias("u"), F.greatest("id", "o.id").alias("v"))
+
+
+def _cross_pairs(rest: DataFrame) -> DataFrame:
+    """All pairs of members of a mark that are of different components, each once: those outside the lead with the lead's, and among themselves."""
+    parts = F.ceil(F.col("members") / PART)
+    outside = rest.filter("c <> lead").select("mark", F.pmod(F.xxhash64("id"), parts).alias("part"), F.col("id").alias("u"), F.col("c").alias("cu"))
+    every = rest.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    pairs = outside.join(every, ["mark", "part"]).filter("cu <> c and (c = lead or u < id)")
+    return pairs.select(F.least("u", "id").alias("u"), F.greatest("u", "id").alias("v"))
+
+
+def _linked(members: DataFrame, agreeing: Callable[[DataFrame], DataFrame], shelf: Shelf) -> DataFrame:
+    """(node, component) of the images that agreeing pairs of members link. members: mark, id and u, the mark's smallest id. See image_copies()."""
+    rest = members.filter("u < id")
+    tried = shelf.put(rest.select("u", F.col("id").alias("v")).distinct(), "pairs")
+    comps = shelf.put(connected_components(forest(shelf.put(agreeing(tried), "edges")), shelf), "components")
+    before, turn = float("inf"), 0
+    while True:
+        known, of = _mixed(rest, comps)
+        mixed = shelf.put(of, "mixed")
+        n, cross = mixed.agg(F.sum("members"), F.sum("cross")).first()
+        if not n:
+            return comps
+        rest = shelf.put(known.join(mixed, "mark").select("mark", "id", "c", "lead", "members"), "members")
+        last = cross <= FEW * n or cross > 0.9 * before
+        pairs = _cross_pairs(rest) if last else _next_pairs(rest, turn)
+        new = shelf.put(pairs.distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
+        found = shelf.put(agreeing(new), "edges")
+        # what earlier links join is one link from each image to its component
+        edges = comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(found)
+        comps = shelf.put(connected_components(forest(edges), shelf), "components")
+        if last:
+            return comps
+        tried, before, turn = tried.unionByName(new), cross, turn + 1
+
+
 def image_copies(images: DataFrame, agree: int = AGREE) -> DataFrame:
     """One row per row of images (image_id, width, height, pixels: grey bytes by row): image_id, n_corners, component_id.
 
     Images whose corners agree on a similarity transform are copies: cropped, shifted, turned, resized or brightened.
     component_id is the smallest image_id that such links reach. Equal pixels are one node, found by a digest. Tried
-    are the pairs of images that share a mark (see marks()): first each mark's members with the smallest of them, then,
-    as long as a mark's members are not of one component, those outside its most common component with all members of
-    other components, 1, 16, 256 and so on of them at a time. A pair that shares a mark and could join two components
-    is never left out; a group of copies costs as many pairs as it has members.
+    are the pairs of images that share a mark (see marks()): first each mark's members with the smallest of them. It
+    has then met them all and leaves the mark. As long as many pairs of different components are left for the members
+    of such marks and fall with it, each is tried with the next ones in a drawn order, so that a group of copies grows
+    together at a few pairs a member; at last all pairs of different components, once each. A pair that shares a mark
+    and could join two components is never left out. Pairs of images that share a mark and are no copies are all
+    tried, which grows with the square of their number.
 
     Null or empty pixels, or pixels that don't fill width times height: no corners, linked with nothing. Null ids:
     component_id null. Rows that repeat an id and pixels get equal rows. An empty table gives no rows. Other columns
@@ -207,28 +263,7 @@ def image_copies(images: DataFrame, agree: int = AGREE) -> DataFrame:
     shared = every.groupBy("mark").agg(F.min("id").alias("u"), F.max("id").alias("most")).filter("u < most").select("mark", "u")
     members = shelf.put(every.join(shared, "mark"), "members")
     shelf.drop(every)
-    tried = shelf.put(members.filter("u < id").select("u", F.col("id").alias("v")).distinct(), "pairs")
-    edges = shelf.put(_tried(tried, one, agree), "edges")
-    done = members.select("mark", F.col("u").alias("id")).distinct()
-    at_once = 1
-    while True:
-        comps = shelf.put(connected_components(forest(edges), shelf), "components")
-        known = members.select("mark", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").select("mark", "id", F.coalesce("component", "id").alias("c"))
-        sizes = known.groupBy("mark", "c").agg(F.count("*").alias("n"))
-        lead = sizes.groupBy("mark").agg(F.max_by("c", F.struct("n", "c")).alias("lead"), F.count("*").alias("cs")).filter("cs > 1").select("mark", "lead")
-        members = shelf.put(known.join(lead, "mark"), "members")
-        left = members.filter("c <> lead").join(done, ["mark", "id"], "left_anti").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)))
-        before = left.groupBy("mark", "part").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.partitionBy("mark").orderBy("part")) - F.col("n")).drop("n")
-        ranked = left.withColumn("r", F.row_number().over(Window.partitionBy("mark", "part").orderBy("id"))).join(before, ["mark", "part"])
-        now = shelf.put(ranked.filter(F.col("r") + F.col("before") <= at_once).select("mark", F.col("id").alias("u"), F.col("c").alias("cu")), "centres")
-        if now.isEmpty():
-            break
-        pairs = now.join(members, "mark").filter("cu <> c").select(F.least("u", "id").alias("u"), F.greatest("u", "id").alias("v")).distinct()
-        new = shelf.put(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
-        # what earlier links join is one link from each image to its component
-        edges = comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(shelf.put(_tried(new, one, agree), "edges"))
-        tried, done = tried.unionByName(new), done.unionByName(now.select("mark", F.col("u").alias("id")))
-        at_once *= 16
+    comps = _linked(members, lambda pairs: _tried(pairs, one, agree), shelf)
     named = reps.join(comps.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     out = seen.select("image_id", (F.length("points") / 16).cast("long").alias("n_corners"), "digest").join(named, "digest", "left")
     return out.select("image_id", "n_corners", F.when(F.col("image_id").isNotNull(), F.coalesce("component_id", "image_id")).alias("component_id"))
