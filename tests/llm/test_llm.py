@@ -292,6 +292,22 @@ def test_media_marks_of_groups_and_strangers_equal_brute_force(spark):
     assert {(i, j) for i, j in meet if group[i] != group[j]} <= set(asked) and len(asked) < 12_000
 
 
+def test_media_a_group_larger_than_a_part_costs_a_few_pairs_a_member(spark):
+    from weftline.llm.common import Shelf
+
+    # a stranger is smallest in the group's mark; other marks hold strangers alone, whose components never fall
+    strangers = spark.range(900).selectExpr("2 + id div 30 AS mark", "10000 + id AS id", "10000 + id div 30 * 30 AS u")
+    members = spark.range(3000).selectExpr("1L AS mark", "id", "0L AS u").unionByName(strangers)
+    asked = []
+
+    def agreeing(pairs):
+        asked.append(pairs.filter("v < 10000").count())
+        return pairs.filter("u > 0 and v < 10000")
+
+    comp = {tuple(r) for r in media._linked(members, agreeing, Shelf(spark, "test")).collect()}
+    assert comp == {(i, 1) for i in range(1, 3000)} and sum(asked) < 8 * 3000
+
+
 # 4 html
 
 

@@ -164,12 +164,17 @@ def _tried(pairs: DataFrame, nodes: DataFrame, agree: int) -> DataFrame:
     return arrow_map(pairs.join(side("u"), "u").join(side("v"), "v"), make, "u long, v long")
 
 
-def _mixed(rest: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (mark, id) with their component c, and marks with the most common one (lead), members and pairs of different components; marks of one component go."""
+def _mixed(rest: DataFrame, comps: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Members (mark, id) with their component c, and marks with the most common one (lead), members, components (cs) and pairs of different ones (cross); marks of one component go.
+
+    grows: a mark has more than FEW such pairs a member, and a tenth fewer components than before, if it was there.
+    """
     known = rest.select("mark", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").select("mark", "id", F.coalesce("component", "id").alias("c"))
     sizes = known.groupBy("mark", "c").agg(F.count("*").cast("double").alias("n"))
     of = sizes.groupBy("mark").agg(F.max_by("c", F.struct("n", "c")).alias("lead"), F.sum("n").alias("members"), ((F.sum("n") ** 2 - F.sum(F.col("n") ** 2)) / 2).alias("cross"), F.count("*").alias("cs"))
-    return known, of.filter("cs > 1").drop("cs")
+    of = of.filter("cs > 1")
+    of = of.withColumn("was", F.lit(None).cast("long")) if before is None else of.join(before.select("mark", F.col("cs").alias("was")), "mark", "left")
+    return known, of.withColumn("grows", (F.col("cross") > FEW * F.col("members")) & F.coalesce(F.col("cs") <= 0.9 * F.col("was"), F.lit(True))).drop("was")
 
 
 def _next_pairs(rest: DataFrame, turn: int) -> DataFrame:
@@ -195,16 +200,16 @@ def _linked(members: DataFrame, agreeing: Callable[[DataFrame], DataFrame], shel
     rest = members.filter("u < id")
     tried = shelf.put(rest.select("u", F.col("id").alias("v")).distinct(), "pairs")
     comps = shelf.put(connected_components(forest(shelf.put(agreeing(tried), "edges")), shelf), "components")
-    before, turn = float("inf"), 0
+    mixed, turn = None, 0
     while True:
-        known, of = _mixed(rest, comps)
+        known, of = _mixed(rest, comps, mixed)
         mixed = shelf.put(of, "mixed")
-        n, cross = mixed.agg(F.sum("members"), F.sum("cross")).first()
+        n, cross, grow = mixed.agg(F.sum("members"), F.sum("cross"), F.max("grows")).first()
         if not n:
             return comps
-        rest = shelf.put(known.join(mixed, "mark").select("mark", "id", "c", "lead", "members"), "members")
-        last = cross <= FEW * n or cross > 0.9 * before
-        pairs = _cross_pairs(rest) if last else _next_pairs(rest, turn)
+        rest = shelf.put(known.join(mixed, "mark").select("mark", "id", "c", "lead", "members", "grows"), "members")
+        last = cross <= FEW * n or not grow
+        pairs = _cross_pairs(rest) if last else _next_pairs(rest.filter("grows"), turn)
         new = shelf.put(pairs.distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
         found = shelf.put(agreeing(new), "edges")
         # what earlier links join is one link from each image to its component
@@ -212,7 +217,7 @@ def _linked(members: DataFrame, agreeing: Callable[[DataFrame], DataFrame], shel
         comps = shelf.put(connected_components(forest(edges), shelf), "components")
         if last:
             return comps
-        tried, before, turn = tried.unionByName(new), cross, turn + 1
+        tried, turn = tried.unionByName(new), turn + 1
 
 
 def image_copies(images: DataFrame, agree: int = AGREE) -> DataFrame:
@@ -221,9 +226,9 @@ def image_copies(images: DataFrame, agree: int = AGREE) -> DataFrame:
     Images whose corners agree on a similarity transform are copies: cropped, shifted, turned, resized or brightened.
     component_id is the smallest image_id that such links reach. Equal pixels are one node, found by a digest. Tried
     are the pairs of images that share a mark (see marks()): first each mark's members with the smallest of them. It
-    has then met them all and leaves the mark. As long as many pairs of different components are left for the members
-    of such marks and fall with it, each is tried with the next ones in a drawn order, so that a group of copies grows
-    together at a few pairs a member; at last all pairs of different components, once each. A pair that shares a mark
+    has then met them all and leaves the mark. If many pairs of different components are left, members of marks with
+    many of them are tried with the next ones in a drawn order, as long as a mark's components fall with it, so that a
+    large group of copies grows together at a few pairs a member; at last all pairs of different components, once each. A pair that shares a mark
     and could join two components is never left out. Pairs of images that share a mark and are no copies are all
     tried, which grows with the square of their number.
 
